@@ -37,6 +37,8 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
 def duck(sf_dir: str):
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
+    con.execute("set memory_limit='8GB'")
+    con.execute("set temp_directory=''")
     for name in BASE_TABLES:
         con.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     return con
