@@ -160,7 +160,7 @@ def international_trips(trip_countries: DataFrame) -> DataFrame:
 
 
 def corridor_matrix(intl: DataFrame, feeds: Sequence[str]) -> DataFrame:
-    return intl.groupBy("corridor").pivot("feed", list(feeds)).agg(F.count("*")).na.fill(0, list(feeds))
+    return intl.groupBy("corridor").pivot("feed", list(feeds)).agg(F.count(F.lit(1))).na.fill(0, list(feeds))
 
 
 def checklist_coverage(intl: DataFrame, routes: DataFrame, agency: DataFrame, terms: Mapping[str, Sequence[str]],
@@ -175,7 +175,7 @@ def checklist_coverage(intl: DataFrame, routes: DataFrame, agency: DataFrame, te
         for service, wanted in terms.items()
     ])
     served = described.select("feed", F.explode(F.filter(hits, lambda s: s.isNotNull())).alias("service"))
-    return served.groupBy("service").pivot("feed", list(feeds)).agg(F.count("*")).na.fill(0, list(feeds))
+    return served.groupBy("service").pivot("feed", list(feeds)).agg(F.count(F.lit(1))).na.fill(0, list(feeds))
 
 
 def feed_profile(tables: Mapping[str, DataFrame], feed: str) -> DataFrame:
