@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ballast.llm.common import table
 from ballast.llm.html_text import extract
+from ballast.llm.minhash import near_duplicates
 from ballast.llm.mixing import mix
+from ballast.llm.phrase_dedup import phrase_dedup
+from ballast.llm.suffix_dedup import suffix_dedup
 from ballast.llm.token_counts import count_tokens
 from ballast.llm.toxicity import toxicity
 from ballast.llm.vector_packing import pack_documents
@@ -33,5 +36,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_html_extraction, op5_vector_packing, op7_token_counts, op9_toxicity)}
+def op2_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup(table(spark, sf_dir, "documents")).drop("k", "t")
+
+
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("k", "t")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_phrase_dedup, op3_html_extraction, op4_minhash_dedup, op5_vector_packing, op7_token_counts, op9_toxicity, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}
