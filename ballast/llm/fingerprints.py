@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 BIN_BITS, KEPT_BITS = 8, 4
 BINS, PER_LONG = 1 << BIN_BITS, 64 // KEPT_BITS
+#: Bins that an empty bin looks at one by one before it ranks all full ones.
+PROBES = 12
 #: Ranges of ids whose rows meet in one task: so many documents each, and so many ranges at most.
 RANGE_ROWS, RANGES, COARSE = 20_000, 1 << 16, 256
 BLANK = "[ \\t-\\r]+"
@@ -31,15 +33,18 @@ def with_fingerprint(df: DataFrame, text: str, out: str, size: int = 5) -> DataF
     """
     words = f"filter(split(coalesce({text}, ''), r'{BLANK}'), w -> w <> '')"
     later = ", ".join(f"get(h, i + {d})" for d in range(1, size))
-    shingles = f"""array_sort(CASE WHEN size(h) >= {size} THEN transform(slice(h, 1, greatest(size(h) - {size - 1}, 0)), (x, i) -> xxhash64(x, {later}))
+    shingles = f"""sort_array(CASE WHEN size(h) >= {size} THEN transform(slice(h, 1, greatest(size(h) - {size - 1}, 0)), (x, i) -> xxhash64(x, {later}))
         WHEN size(h) > 0 THEN array(xxhash64(h, size(h))) ELSE cast(array() as array<bigint>) END)"""
     shift, low = 64 - BIN_BITS, (1 << KEPT_BITS) - 1
     # Sorted hashes: the first of each bin is its least.
     least = f"filter(s, (x, i) -> i = 0 OR shiftrightunsigned(x, {shift}) <> shiftrightunsigned(get(s, i - 1), {shift}))"
     # Full bins as (bin, kept bits).
     full = f"transform(o, x -> struct(shiftrightunsigned(x, {shift}) AS bin, x & {low} AS kept))"
-    borrowed = "array_min(transform(e, x -> struct(xxhash64(x.bin, j) AS p, x.kept AS v))).v"
-    digits = let("m", "map_from_entries(e)", f"transform(sequence(0L, {BINS - 1}L), j -> coalesce(element_at(m, j), {borrowed}))")
+    # An empty bin tries PROBES bins by hash, then takes the full bin that stands first in an order by hash of its own.
+    probes = ", ".join(f"get(v, cast(xxhash64(j, {t}) & {BINS - 1} as int))" for t in range(PROBES))
+    ordered = "array_min(transform(e, x -> struct(xxhash64(x.bin, j) AS p, x.kept AS v))).v"
+    dense = let("m", "map_from_entries(e)", f"transform(sequence(0L, {BINS - 1}L), j -> element_at(m, j))")
+    digits = let("v", dense, f"transform(v, (x, j) -> coalesce(x, {probes}, {ordered}))")
     packed = let("d", digits, f"transform(sequence(0, {BINS // PER_LONG - 1}), g -> aggregate(slice(d, g * {PER_LONG} + 1, {PER_LONG}), 0L, (a, x) -> shiftleft(a, {KEPT_BITS}) | x))")
     body = f"CASE WHEN size(o) > 0 THEN {let('e', full, packed)} ELSE cast(array() as array<bigint>) END"
     hashes = f"transform({words}, w -> xxhash64(w))"
