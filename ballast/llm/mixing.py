@@ -114,7 +114,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     laid = laid.withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)"))).withColumn("start", F.expr("base + inner + copy * size"))
     parts = laid.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     parts = parts.select("source", "k", "t", "copies", "block", F.expr(f"greatest(start, block * {block})").alias("a"), F.expr(f"least(start + size, (block + 1) * {block})").alias("b"))
-    joined = parts.join(draws(targets, block, seed).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("index")))
+    joined = parts.join(draws(targets, block, seed).withColumnRenamed("source", "s").hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("index")))
     taken = joined.groupBy("source", "k", "t").agg(F.expr(f"sum(greatest(0L, least(b, block * {block} + words) - a)) div max(copies)").alias("taken"))
     s, u = sized.alias("s"), taken.alias("u")
     known = s.join(u, F.col("s.source").eqNullSafe(F.col("u.source")) & (F.col("s.k") == F.col("u.k")) & (F.col("s.t") == F.col("u.t")), "left")

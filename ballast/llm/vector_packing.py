@@ -23,6 +23,13 @@ from pyspark.sql import functions as F
 #: Pieces a task keeps waiting; their ids take 2048 * 4 bytes each at most.
 WAITING = 512
 SPACED = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Words of these signs alone change under normalisation by lower case only.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ľ]+")
+#: The vocabulary's own cut of a word into units, for such signs in lower case.
+UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ľ]+|[0-9]|[^a-zà-öø-ľ0-9]+")
+#: Byte-level vocabularies write each byte as a sign that can be seen: Latin-1's own signs, the rest from 256 on.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SHOWN = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SEEN)))}
 #: Distinct words whose ids a task remembers before it starts anew.
 REMEMBERED = 500_000
 
@@ -36,57 +43,71 @@ class Limits:
     loss: int = 2048
 
 
+class Codes(dict):
+    """Numbers of words, given out as they are first asked for."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = code = len(self)
+        return code
+
+
 class WordIds:
     """Ids of texts by way of their white-space separated words; no token of such a vocabulary spans white space.
 
-    ``encode`` gives the ids of a text, ``mark`` is a special token's string and ``mark_id`` its id: set between new
-    words, it parts their ids in one call.
+    A word is worked out once. If it holds only signs of PLAIN, which normalisation leaves as they are but for case, its
+    units go to the vocabulary's merges directly, each distinct one once; others go through the whole tokenizer.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], mark: str, mark_id: int):
-        self.encode, self.mark, self.mark_id = encode, mark, mark_id
+    def __init__(self, encode: Callable[[str], list[int]], merge: Callable[[str], list[int]]):
+        self.encode, self.merge = encode, merge
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.codes, self.units = Codes(), {}
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if self.mark not in w]
-        parts = [self.encode(self.mark.join([*plain[i : i + 4096], ""])) for i in range(0, len(plain), 4096)]
-        ids = np.fromiter(chain.from_iterable(parts), np.uint32)
-        ends = np.flatnonzero(ids == self.mark_id)
-        sizes = np.diff(ends, prepend=-1) - 1
-        ids = ids[ids != self.mark_id]
-        for word in words:
-            if self.mark in word:
-                own = self.encode(word)
-                plain.append(word)
-                sizes, ids = np.append(sizes, len(own)), np.append(ids, np.array(own, np.uint32))
+    def unit(self, text: str) -> list[int]:
+        ids = self.units[text] = self.merge(text.encode().decode("latin-1").translate(SHOWN))
+        return ids
+
+    def of_word(self, word: str) -> list[int]:
+        if not PLAIN.fullmatch(word) or "<|" in word:
+            return self.encode(word)
+        known, out = self.units, []
+        for text in UNIT.findall(word.lower()):
+            out += known[text] if text in known else self.unit(text)
+        return out
+
+    def learn(self) -> None:
+        made = [self.of_word(word) for word in self.codes.new]
+        self.codes.new.clear()
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        ids = np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum()))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
-        first = len(self.codes)
-        self.codes.update(zip(plain, range(first, first + len(plain)), strict=True))
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.used += len(ids)
 
-    def prepare(self, texts: list[str]) -> list[list[str]]:
-        """The words of texts, all of them known from now on."""
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         if len(self.codes) > REMEMBERED:
             self.clear()
         found = [SPACED.findall(text) for text in texts]
-        if new := [w for w in dict.fromkeys(chain.from_iterable(found)) if w not in self.codes]:
-            self.learn(new)
-        return found
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
+        if self.codes.new:
+            self.learn()
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
-        return self.pool[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ids = self.pool[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        words = np.cumsum([len(f) for f in found])
+        return np.split(ids, np.r_[0, ends][words[:-1]])
 
 
 @lru_cache(maxsize=1)
@@ -94,8 +115,7 @@ def word_ids(path: str) -> WordIds:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    mark = "<|startoftext|>"
-    return WordIds(lambda text: tokenizer.encode(text, add_special_tokens=False).ids, mark, tokenizer.token_to_id(mark))
+    return WordIds(lambda text: tokenizer.encode(text, add_special_tokens=False).ids, lambda text: [t.id for t in tokenizer.model.tokenize(text)])
 
 
 class Packer:
@@ -190,8 +210,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
             rows.clear()
             return batch
 
-        for doc, words in read(batches, encoder):
-            ids = np.append(encoder.ids(words), end_id).astype("<u4")
+        for doc, ids in read(batches, encoder):
+            ids = np.append(ids, end_id).astype("<u4")
             total, at = len(ids), 0
             step = min(limits.tokens, limits.loss)
             while total - at >= step:
@@ -214,12 +234,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, schema)
 
 
-def read(batches: Iterator[pa.RecordBatch], encoder: WordIds) -> Iterator[tuple[int | None, list[str]]]:
-    """The id and the words of each document; the words of 64 documents are learnt together."""
+def read(batches: Iterator[pa.RecordBatch], encoder: WordIds) -> Iterator[tuple[int | None, np.ndarray]]:
+    """The id and the token ids of each document; the words of 64 documents are learnt together."""
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            yield from zip(part.column("doc_id").to_pylist(), encoder.prepare([x or "" for x in part.column("text").to_pylist()]), strict=True)
+            yield from zip(part.column("doc_id").to_pylist(), encoder.batch([x or "" for x in part.column("text").to_pylist()]), strict=True)
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
