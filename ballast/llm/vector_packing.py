@@ -26,7 +26,7 @@ SPACED = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 #: Words of these signs alone change under normalisation by lower case only.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ľ]+")
 #: The vocabulary's own cut of a word into units, for such signs in lower case.
-UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ľ]+|[0-9]|[^a-zà-öø-ľ0-9]+")
+UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ľ]+|[0-9]|[^a-zß-öø-ľ0-9]+")
 #: Byte-level vocabularies write each byte as a sign that can be seen: Latin-1's own signs, the rest from 256 on.
 _SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SHOWN = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SEEN)))}
@@ -43,6 +43,11 @@ class Limits:
     loss: int = 2048
 
 
+def text_words(text: str) -> list[str]:
+    """The words of a text. str.split() takes four separator signs for white space that the vocabulary does not."""
+    return SPACED.findall(text) if any(sign in text for sign in "\x1c\x1d\x1e\x1f") else text.split()
+
+
 class Codes(dict):
     """Numbers of words, given out as they are first asked for."""
 
@@ -72,7 +77,8 @@ class WordIds:
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def unit(self, text: str) -> list[int]:
-        ids = self.units[text] = self.merge(text.encode().decode("latin-1").translate(SHOWN))
+        shown = text if text.isascii() else text.encode().decode("latin-1").translate(SHOWN)
+        ids = self.units[text] = self.merge(shown)
         return ids
 
     def of_word(self, word: str) -> list[int]:
@@ -99,7 +105,7 @@ class WordIds:
         """The ids of each text."""
         if len(self.codes) > REMEMBERED:
             self.clear()
-        found = [SPACED.findall(text) for text in texts]
+        found = [text_words(text) for text in texts]
         at = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
         if self.codes.new:
             self.learn()
