@@ -74,3 +74,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
         else:
             out.append([start, end])
     return [(a, b) for a, b in out]
+
+
+def spans_of(cell: pa.Scalar) -> list[tuple[int, int]]:
+    """The (a, b) ranges of a list cell, merged; none if it is null."""
+    if not cell.is_valid:
+        return []
+    a, b = cell.values.flatten()
+    return merged(list(zip(a.to_pylist(), b.to_pylist(), strict=True)))

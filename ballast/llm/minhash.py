@@ -129,6 +129,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     hashes = F.array(*[F.xxhash64(F.substring("sig", 1 + width * i, width), F.lit(i)) for i in range(BANDS)])
     bands = reps.select("id", F.explode(hashes).alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = stored(shared)  # a written side lets Spark split the other one where a bucket is large
     members = stored(bands.join(shared, "bucket"))
     texts = stored(source.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]))
     links = stored(linked(members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), reps, texts, size, percent))

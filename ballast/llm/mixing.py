@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballast.llm.common import WORD, doc_key, stored, text_tag
+from ballast.llm.common import WORD, doc_key, spans_of, stored, text_tag, utf8
+from ballast.llm.hashing import words
 
 #: Words of a block; a source's take misses its target by less than one block.
 BLOCK = 64
@@ -89,19 +90,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     return table.withColumn("target", F.least("cap", F.coalesce(level, F.lit(0.0)) * F.col("weight"))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = BLOCK, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row, and its key (k, t) for joins.
-
-    ``size`` counts words; a null or empty text has none. A null source is a source, and stands last. Rows that share id,
-    text and source share their words' slots, so each of them has the same ``taken``; a null doc_id stays null. No
-    document is taken more than ``most`` (rounded up) times. Other columns are ignored; an empty table gives an empty
-    result. A rerun draws the same.
-    """
-    sized = stored(docs.select(
+def sizes_of(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), doc_key().alias("k"), text_tag().alias("t"), n_words().alias("size"),
-    ))
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = stored(source_targets(per_source, weights, most).withColumn("blocks", F.expr(f"(source_size + {block} - 1) div {block}")))
+    )
+
+
+def take(sized: DataFrame, targets: DataFrame, block: int, seed: int) -> DataFrame:
+    """source, k, t, copies, copy, pass, a, b: the words [a, b) that a pass over a source takes from a copy of a document."""
     # Documents end to end: sizes are added up per range of a source, then within it.
     ranged = sized.filter("size > 0").groupBy("source", "k", "t").agg(F.max("size").alias("size"), F.count("*").alias("copies"))
     ranged = ranged.withColumn("range", F.pmod(F.xxhash64("k", "t"), F.lit(RANGES)))
@@ -110,21 +106,71 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "range").orderBy("k", "t").rowsBetween(Window.unboundedPreceding, -1)
     laid = ranged.withColumn("inner", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
-    laid = laid.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    laid = laid.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
     laid = laid.withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)"))).withColumn("start", F.expr("base + inner + copy * size"))
     parts = laid.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
-    parts = parts.select("source", "k", "t", "copies", "block", F.expr(f"greatest(start, block * {block})").alias("a"), F.expr(f"least(start + size, (block + 1) * {block})").alias("b"))
-    joined = parts.join(draws(targets, block, seed).withColumnRenamed("source", "s").hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("index")))
-    taken = joined.groupBy("source", "k", "t").agg(F.expr(f"sum(greatest(0L, least(b, block * {block} + words) - a)) div max(copies)").alias("taken"))
+    slots = draws(targets, block, seed).withColumnRenamed("source", "s").hint("merge")
+    joined = parts.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("index")))
+    joined = joined.withColumn("a", F.expr(f"greatest(start, block * {block}) - start")).withColumn("b", F.expr(f"least(start + size, block * {block} + words) - start"))
+    return joined.filter("a < b").select("source", "k", "t", "copies", "copy", "pass", "a", "b")
+
+
+def plan(docs: DataFrame, weights: tuple[float, ...], most: float, block: int) -> tuple[DataFrame, DataFrame]:
+    sized = stored(sizes_of(docs))
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return sized, stored(source_targets(per_source, weights, most).withColumn("blocks", F.expr(f"(source_size + {block} - 1) div {block}")))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = BLOCK, seed: int = 17) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every row.
+
+    ``size`` counts words; a null or empty text has none. A null source is a source, and stands last. Rows that share id,
+    text and source share their words' slots, so each of them has the same ``taken``; a null doc_id stays null. No
+    document is taken more than ``most`` (rounded up) times. Other columns are ignored; an empty table gives an empty
+    result. A rerun draws the same.
+    """
+    sized, targets = plan(docs, weights, most, block)
+    taken = take(sized, targets, block, seed).groupBy("source", "k", "t").agg(F.expr("sum(b - a) div max(copies)").alias("taken"))
     s, u = sized.alias("s"), taken.alias("u")
     known = s.join(u, F.col("s.source").eqNullSafe(F.col("u.source")) & (F.col("s.k") == F.col("u.k")) & (F.col("s.t") == F.col("u.t")), "left")
-    known = known.select("s.doc_id", "s.k", "s.t", F.col("s.source").alias("own"), "s.size", F.coalesce("u.taken", F.lit(0)).alias("taken"))
+    known = known.select("s.doc_id", F.col("s.source").alias("own"), "s.size", F.coalesce("u.taken", F.lit(0)).alias("taken"))
     known = known.join(targets, F.col("own").eqNullSafe(F.col("source")))
-    return known.select("doc_id", "size", "source_size", "target", "taken", "k", "t")
+    return known.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = BLOCK, seed: int = 17) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each pass that takes words of a document, holding the text
+    from the first to the last word of every stretch taken, stretches parted by a line end. A document that a pass takes
+    whole keeps its words as they stand. What ``mix`` says of nulls, repeats and empty tables holds here; texts without
+    words are not in the mix.
+    """
+    sized, targets = plan(docs, weights, most, block)
+    lists = take(sized, targets, block, seed).groupBy("source", "k", "t", "copy", "pass").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    lists = lists.select(F.col("source").alias("_s"), "k", "t", F.col("spans").alias("_spans"))
+    columns = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    each = docs.select(row, doc_key().alias("k"), text_tag().alias("t"), F.col("source").cast("string").alias("s")).dropDuplicates(["k", "t", "s"])
+    joined = each.join(lists, (each.k == lists.k) & (each.t == lists.t) & each.s.eqNullSafe(lists["_s"])).select("row.*", "_spans")
+    at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(at))
+            texts = []
+            for i, cell in enumerate(batch.column(len(columns))):
+                part = data[offsets[i] : offsets[i + 1]]
+                starts, ends, _ = words(part, np.array([0, len(part)]))
+                body = part.tobytes()
+                texts.append("\n".join(body[starts[a] : ends[b - 1]].decode() for a, b in spans_of(cell)))
+            out = [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : len(columns)]]
+            yield pa.RecordBatch.from_arrays(out, columns)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return joined.mapInArrow(run, schema)
 
 
 def draws(targets: DataFrame, block: int, seed: int) -> DataFrame:
-    """source, shard, slot, index, words: the block of every slot, and how many of its words the slot takes."""
+    """source, shard, pass, index, words: the block of every slot, and how many of its words the slot takes."""
     shards = targets.filter("source_size > 0").withColumn("shards", F.expr(f"bigint(ceil((floor(target) / {block} + 3) / {SHARD_SLOTS}))"))
     shards = shards.withColumn("shard", F.explode(F.expr("sequence(0L, shards - 1)")))
     shards = shards.repartition(F.col("source"), F.col("shard"))
@@ -132,8 +178,8 @@ def draws(targets: DataFrame, block: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                size, n_blocks, words = row["source_size"], row["blocks"], int(row["target"])
-                passes, rest = divmod(words, size)
+                size, n_blocks, wanted = row["source_size"], row["blocks"], int(row["target"])
+                passes, rest = divmod(wanted, size)
                 # Of the last pass as many slots as its words need; the very last slot takes only what is missing.
                 last = -(-rest // block)
                 key = zlib.crc32(repr((row["source"], seed)).encode())
@@ -143,12 +189,12 @@ def draws(targets: DataFrame, block: int, seed: int) -> DataFrame:
                 index = np.zeros(count, np.int64)
                 for n in np.unique(number):
                     index[number == n] = permuted(within[number == n], n_blocks, key + 7919 * (int(n) + 1))
-                take = np.full(count, block, np.int64)
-                take[slot == passes * n_blocks + last - 1] = rest - block * (last - 1) if last else block
+                words_taken = np.full(count, block, np.int64)
+                words_taken[slot == passes * n_blocks + last - 1] = rest - block * (last - 1) if last else block
                 yield pa.record_batch({
                     "source": pa.array([row["source"]] * count, pa.string()), "shard": pa.array(np.full(count, row["shard"])),
-                    "slot": pa.array(slot), "index": pa.array(index), "words": pa.array(take),
+                    "pass": pa.array(number), "index": pa.array(index), "words": pa.array(words_taken),
                 })
 
-    return shards.mapInArrow(run, "source string, shard long, slot long, index long, words long")
+    return shards.mapInArrow(run, "source string, shard long, pass long, index long, words long")
 

@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ballast.llm.common import merged, utf8
+from ballast.llm.common import merged, spans_of, utf8
 from ballast.llm.hashing import words
-from ballast.llm.repeats import Segment, Windows, covered, keyed, spans_of
+from ballast.llm.repeats import Segment, Windows, covered, keyed
 
 
 def confirmed(texts: list[np.ndarray], times: list[int], length: int) -> set[tuple[int, ...]]:
@@ -69,15 +69,17 @@ def located(segments: list[Segment], length: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def phrase_dedup(docs: DataFrame, length: int = 35, gram: int = 8, most: int = 1 << 15, text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (kept words joined by a space) and, if asked for, that ``text``, of every row.
+def phrase_dedup(docs: DataFrame, length: int = 35, gram: int = 8, most: int = 1 << 15, text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (kept words joined by a space) and, if asked for, that ``text``, of every row, with the columns to ``carry``
+    as ``_c0``, ``_c1``, ...
 
     Removed is each word covered by ``length`` consecutive words that also start anywhere else, judged on the input. A
     null, empty or blank text has no words; a null doc_id stays null; rows that repeat are documents of their own, so
     what they share goes from each; other columns are ignored; an empty table gives an empty result.
     """
     w = Windows("word", length, gram)
-    names = ["doc_id", "k", "t", "n_words", "n_removed", "kept_sha256"] + ["text"] * text
+    carry = carry or []
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,9 +96,10 @@ def phrase_dedup(docs: DataFrame, length: int = 35, gram: int = 8, most: int = 1
                 digests.append(hashlib.sha256(rest).hexdigest())
                 if text:
                     kept.append(rest.decode())
-            columns = [*(batch.column(c) for c in names[:3]), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
-            yield pa.record_batch(columns + [pa.array(kept, pa.string())] * text, names)
+            columns = [*(batch.column(c) for c in names[:1]), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
+            yield pa.record_batch([*columns, *[pa.array(kept, pa.string())] * text, *(batch.column(f"_c{i}") for i in range(len(carry)))], names + [f"_c{i}" for i in range(len(carry))])
 
-    schema = "doc_id long, k long, t int, n_words long, n_removed long, kept_sha256 string" + ", text string" * text
-    found = covered(keyed(docs), w, lambda segments: located(segments, length), most=most)
-    return found.select("doc_id", "k", "t", "text", "spans").mapInArrow(run, schema)
+    kinds = dict(docs.dtypes)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * text + "".join(f", _c{i} {kinds[c]}" for i, c in enumerate(carry))
+    found = covered(keyed(docs, carry), w, lambda segments: located(segments, length), most=most)
+    return found.drop("k", "t").mapInArrow(run, schema)

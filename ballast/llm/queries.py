@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ballast.llm.common import table
 from ballast.llm.fingerprints import fingerprints
 from ballast.llm.html_text import extract
+from ballast.llm.lattice import near_vectors
 from ballast.llm.minhash import near_duplicates
 from ballast.llm.mixing import mix
 from ballast.llm.phrase_dedup import phrase_dedup
@@ -18,7 +19,7 @@ from ballast.llm.vector_packing import pack_documents
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("k", "t")
+    return mix(table(spark, sf_dir, "documents"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +38,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrase_dedup(table(spark, sf_dir, "documents")).drop("k", "t")
+    return phrase_dedup(table(spark, sf_dir, "documents"))
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +55,8 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents")).drop("k", "t")
+    return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_phrase_dedup, op3_html_extraction, op4_minhash_dedup, op5_vector_packing, op6_fingerprints, op7_token_counts, op9_toxicity, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_phrase_dedup, op3_html_extraction, op4_minhash_dedup, op5_vector_packing, op6_fingerprints, op7_token_counts, op8_lattice_dedup, op9_toxicity, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import CHUNK_BYTES, chunks, doc_key, merged, stored, text_tag, utf8
+from ballast.llm.common import CHUNK_BYTES, chunks, doc_key, stored, text_tag, utf8
 from ballast.llm.hashing import BYTE_TOKENS, U64, mix, prefix, span, word_hashes, words
 
 #: Low bits of a k-gram's rank, which hold its place.
@@ -217,8 +217,12 @@ def single(x: Segment, w: Windows) -> pa.RecordBatch:
     ], schema=ARROW)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("k"), text_tag().alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """doc_id, k, t, text, and the columns to carry along, as ``_c0``, ``_c1``, ... so that no name clashes."""
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("k"), text_tag().alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)],
+    )
 
 
 def covered(docs: DataFrame, w: Windows, resolver: Resolver, batch: int = 2048, most: int = 1 << 15) -> DataFrame:
@@ -227,7 +231,8 @@ def covered(docs: DataFrame, w: Windows, resolver: Resolver, batch: int = 2048,
     Rows that share id and text are documents of their own: each makes the other's windows recur.
     """
     everything = stored(find(docs, w))
-    twice = everything.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # A written side lets Spark split the other one where an anchor is very frequent.
+    twice = stored(everything.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     segments = stored(everything.join(twice, "anchor", "left_semi"))
     distinct = segments.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("k", "t", "first", "windows", "place")).alias("at"))
     wanted = distinct.select("anchor", "content", "times", "at.*")
@@ -237,11 +242,3 @@ def covered(docs: DataFrame, w: Windows, resolver: Resolver, batch: int = 2048,
     spans = places.select("k", "t", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     lists = spans.groupBy("k", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return docs.join(lists, ["k", "t"], "left")
-
-
-def spans_of(cell: pa.Scalar) -> list[tuple[int, int]]:
-    """The ranges of a ``spans`` cell, merged."""
-    if not cell.is_valid:
-        return []
-    a, b = cell.values.flatten()
-    return merged(list(zip(a.to_pylist(), b.to_pylist(), strict=True)))

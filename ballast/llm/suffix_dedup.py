@@ -16,9 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ballast.llm.common import utf8
+from ballast.llm.common import spans_of, utf8
 from ballast.llm.hashing import BYTE_TOKENS, prefix, span
-from ballast.llm.repeats import Segment, Windows, covered, keyed, spans_of
+from ballast.llm.repeats import Segment, Windows, covered, keyed
 
 #: Odd bases of the prefix hashes, the next for a sort in which one has failed.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -150,8 +150,9 @@ def recurring(segments: list[Segment], length: int) -> list[tuple[int, int, int]
     return list(zip(rows.tolist(), first.tolist(), (after - 1 + length).tolist(), strict=True))
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 1 << 15, text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept ``text``, of every row.
+def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 1 << 15, text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept ``text``, of every row, with
+    the columns to ``carry`` as ``_c0``, ``_c1``, ...
 
     Removed is each byte covered by a string of ``length`` bytes that also starts anywhere else, judged on the input. A
     null or empty text has no bytes; a null doc_id stays null; rows that repeat are documents of their own, so what they
@@ -159,7 +160,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 32, most: int =
     within a character loses that character's rest.
     """
     w = Windows("byte", length, gram)
-    names = ["doc_id", "k", "t", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * text
+    carry = carry or []
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,9 +180,10 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 32, most: int =
                 digests.append(hashlib.sha256(rest).hexdigest())
                 if text:
                     kept.append(rest.decode("utf-8", "ignore"))
-            columns = [*(batch.column(c) for c in names[:3]), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(digests, pa.string())]
-            yield pa.record_batch(columns + [pa.array(kept, pa.string())] * text, names)
+            columns = [*(batch.column(c) for c in names[:1]), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(digests, pa.string())]
+            yield pa.record_batch([*columns, *[pa.array(kept, pa.string())] * text, *(batch.column(f"_c{i}") for i in range(len(carry)))], names + [f"_c{i}" for i in range(len(carry))])
 
-    schema = "doc_id long, k long, t int, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * text
-    found = covered(keyed(docs), w, lambda segments: recurring(segments, length), most=most)
-    return found.select("doc_id", "k", "t", "text", "spans").mapInArrow(run, schema)
+    kinds = dict(docs.dtypes)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * text + "".join(f", _c{i} {kinds[c]}" for i, c in enumerate(carry))
+    found = covered(keyed(docs, carry), w, lambda segments: recurring(segments, length), most=most)
+    return found.drop("k", "t").mapInArrow(run, schema)
