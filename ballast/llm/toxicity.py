@@ -6,6 +6,7 @@ fit pays for the difference of the two scores, so a term's own weight stays near
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -42,7 +43,7 @@ def swapped(text: str | None, terms: tuple[str, ...] = IDENTITY) -> str | None:
     return WORD.sub(lambda m: other.get(m.group().lower(), m.group()), text) if any(w in other for w in found) else None
 
 
-def fit(rows: list[np.ndarray], other: list[np.ndarray | None], labels: np.ndarray, size: int, ridge: float = 2e-4, fair: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], other: list[np.ndarray | None], labels: np.ndarray, size: int, ridge: float = 3e-5, fair: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic loss, a ridge, and ``fair`` times the mean square difference of paired scores."""
 
     def flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +75,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: tuple
 
     ``sample`` bounds the labelled rows of each label to its half; the rows with the least hash of their id are taken.
     Rows whose crc32(doc_id) mod 3 is 1 and null ids or labels are not learnt from, and equal texts count once. Features
-    are those of the sample whose chi-square with the label is largest, ``n_features`` at most; with no or one label
-    only, every score is 0.5.
+    are those in three texts or more whose chi-square with the label is largest and beyond chance, ``n_features`` at
+    most; with no or one label only, every score is 0.5.
     """
     bounded = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     bounded = bounded.filter(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
@@ -100,7 +101,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: tuple
     a, b = F.col("a"), F.col("b")
     each = rows.select("toxic", F.explode("own").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     chi = (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) / F.greatest((a + b) * (n0 + n1 - a - b) * F.lit(float(n0) * n1), F.lit(1.0))
-    best = each.filter(a + b >= 3).withColumn("chi", chi).filter("chi > 12").orderBy(F.desc("chi"), "feature").limit(n_features)
+    each = stored(each.filter(a + b >= 3))
+    # Among so many features chance alone gives some a chi-square of twice their number's logarithm.
+    chance = 2 * math.log(max(2, each.count())) + 2
+    best = each.withColumn("chi", chi).filter(F.col("chi") > chance).orderBy(F.desc("chi"), "feature").limit(n_features)
     names = [r.feature for r in best.select("feature").collect()]
     names += [t for t in terms if t not in set(names)]
     number = {name: i for i, name in enumerate(names)}
