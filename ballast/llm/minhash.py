@@ -16,8 +16,8 @@ from ballast.llm.hashing import U64, mix, prefix, span, word_hashes, words
 #: Bands and minima of a band: of two sets with a likeness of 0.8, one pair in ten million shares no band.
 BANDS, BAND_ROWS = 40, 5
 HASHES = BANDS * BAND_ROWS
-#: How far below the wanted likeness signatures may agree before a pair is given up: seven standard deviations.
-SLACK = 0.2
+#: How far below the wanted likeness signatures may agree before a pair is given up: five standard deviations.
+SLACK = 0.15
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -109,6 +109,18 @@ def linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, perce
     return close.join(side["b"], "b").join(side["a"], "a").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long").distinct()
 
 
+def regrouped(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component after further links; only the components that these join are worked on."""
+    of = groups.select(F.col("node"), F.col("component"))
+    known = links.join(of.toDF("a", "x"), "a", "left").join(of.toDF("b", "y"), "b", "left")
+    known = stored(known.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).filter("x <> y"))
+    if known.isEmpty():
+        return groups
+    moved = stored(components(known.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    single = known.select("a").union(known.select("b")).distinct().toDF("node").join(of, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return stored(of.union(single).join(moved.toDF("component", "least"), "component", "left").select("node", F.coalesce("least", "component").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) and kept (it is the doc_id itself) of every row.
 
@@ -118,8 +130,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     table gives an empty result.
 
     Texts with one set are one node, so copies are never paired. In a bucket (texts with one band in common) all are
-    compared with its first, and as long as a bucket holds texts of several components, with more of its texts, twice as
-    many each time: pairs are left out only within a component.
+    compared with its first; as long as a bucket holds texts of several components, those of its small components are
+    compared with the others, eight times as many each time. Pairs are left out only within a component.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     made = stored(signatures(source, size))
@@ -132,23 +144,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shared = stored(shared)  # a written side lets Spark split the other one where a bucket is large
     members = stored(bands.join(shared, "bucket"))
     texts = stored(source.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]))
-    links = stored(linked(members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), reps, texts, size, percent))
-    groups = components(links)
-    waiting, done = members.filter("id <> lead").select("bucket", "id"), 0
+    tried = stored(members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    groups = stored(components(stored(linked(tried, reps, texts, size, percent))))
+    waiting, pivots = members.filter("id <> lead").select("bucket", "id"), 8
     while True:
         label = waiting.join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         mixed = label.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-        waiting = stored(label.join(mixed, "bucket", "left_semi"))
+        waiting = stored(label.join(stored(mixed), "bucket", "left_semi"))
         if waiting.isEmpty():
             break
-        done = 2 * done + 1
-        ranked = waiting.withColumn("rank", F.expr("row_number() over (partition by bucket order by id)"))
-        first = ranked.filter(F.col("rank") <= done).select("bucket", F.col("id").alias("a"), F.col("component").alias("one"), F.col("rank").alias("at"))
-        pairs = first.join(ranked, "bucket").filter((F.col("rank") > F.col("at")) & (F.col("one") != F.col("component")))
-        pairs = pairs.select("a", F.col("id").alias("b")).distinct()
-        links = stored(links.unionByName(linked(pairs, reps, texts, size, percent)))
-        groups = components(links)
-        waiting = stored(ranked.filter(F.col("rank") > done).select("bucket", "id"))
+        # Members of small components first: what is left of a bucket at last is one component.
+        each = waiting.withColumn("n", F.expr("count(*) over (partition by bucket, component)"))
+        ranked = stored(each.withColumn("rank", F.expr("row_number() over (partition by bucket order by n, component, id)")))
+        first = ranked.filter(F.col("rank") <= pivots).select("bucket", F.col("id").alias("one"), F.col("component").alias("of"), F.col("rank").alias("at"))
+        pairs = first.join(ranked, "bucket").filter((F.col("rank") > F.col("at")) & (F.col("of") != F.col("component")))
+        pairs = stored(pairs.select(F.least("one", "id").alias("a"), F.greatest("one", "id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        groups = regrouped(groups, stored(linked(pairs, reps, texts, size, percent)))
+        tried = tried.unionByName(pairs)
+        waiting, pivots = ranked.filter(F.col("rank") > pivots).select("bucket", "id"), 8 * pivots
     ids = known.select("s1", "s2", F.col("id").alias("own")).distinct().join(reps.select("s1", "s2", "id"), ["s1", "s2"])
     ids = ids.join(groups.withColumnRenamed("node", "id"), "id", "left").select("own", F.coalesce("component", "id").alias("component"))
     ids = ids.groupBy("own").agg(F.min("component").alias("component"))
