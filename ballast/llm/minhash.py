@@ -16,8 +16,10 @@ from ballast.llm.hashing import U64, mix, prefix, span, word_hashes, words
 #: Bands and minima of a band: of two sets with a likeness of 0.8, one pair in ten million shares no band.
 BANDS, BAND_ROWS = 40, 5
 HASHES = BANDS * BAND_ROWS
-#: How far below the wanted likeness signatures may agree before a pair is given up: five standard deviations.
-SLACK = 0.15
+#: Texts that meet as many others in one block.
+BLOCK = 200
+#: How far below the wanted likeness signatures may agree before a pair is given up: 4.6 standard deviations.
+SLACK = 0.13
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -75,38 +77,119 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, sig binary")
 
 
-def linked(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those with 100 * intersection >= percent * union; signatures give most others up before texts are fetched."""
-    least = int((percent / 100 - SLACK) * HASHES)
+def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose signatures agree about as much as those of linked texts."""
 
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
-            near = pa.array((one == two).sum(1) >= least)
+            near = pa.array((one == two).sum(1) >= least_agreement(percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(near)
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets(column: pa.Array) -> list[np.ndarray]:
-            data, offsets = utf8(column)
-            got = []
-            for a, b in chunks(offsets):
-                all_, before = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-                got += [all_[before[i] : before[i + 1]] for i in range(b - a)]
-            return got
+    side = {c: reps.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab"}
+    return pairs.join(side["b"], "b").join(side["a"], "a").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
+def least_agreement(percent: int) -> int:
+    return int((percent / 100 - SLACK) * HASHES)
+
+
+def sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
+    """The sorted shingle hashes of each text of a column."""
+    data, offsets = utf8(column)
+    got = []
+    for a, b in chunks(offsets):
+        all_, before = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
+        got += [all_[before[i] : before[i + 1]] for i in range(b - a)]
+    return got
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    side = {c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"}
+    return pairs.join(side["b"], "b").join(side["a"], "a").select("a", "b", "text_a", "text_b")
 
+
+def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) those with 100 * intersection >= percent * union, by their full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 near = []
-                for one, two in zip(sets(part.column("text_a")), sets(part.column("text_b")), strict=True):
+                for one, two in zip(sets_of(part.column("text_a"), size), sets_of(part.column("text_b"), size), strict=True):
                     common = len(np.intersect1d(one, two, assume_unique=True))
                     near.append(common > 0 and 100 * common >= percent * (len(one) + len(two) - common))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    side = {c: reps.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab"}
-    close = pairs.join(side["b"], "b").join(side["a"], "a").select("a", "b", "sig_a", "sig_b").mapInArrow(agree, "a long, b long")
-    side = {c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"}
-    return close.join(side["b"], "b").join(side["a"], "a").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long").distinct()
+    return with_texts(pairs, texts).mapInArrow(run, "a long, b long").distinct()
+
+
+def differences(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """a, b, n_set (size of a's set), added and removed: what b's set has and a's has not, and the other way round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int64())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                both = list(zip(sets_of(part.column("text_a"), size), sets_of(part.column("text_b"), size), strict=True))
+                yield pa.record_batch({
+                    "a": part.column("a"), "b": part.column("b"), "n_set": pa.array([len(one) for one, _ in both], pa.int64()),
+                    "added": pa.array([np.setdiff1d(two, one, assume_unique=True).view(np.int64) for one, two in both], kind),
+                    "removed": pa.array([np.setdiff1d(one, two, assume_unique=True).view(np.int64) for one, two in both], kind),
+                })
+
+    return with_texts(pairs, texts).mapInArrow(run, "a long, b long, n_set long, added array<long>, removed array<long>")
+
+
+def beyond_lead(pairs: DataFrame, links: DataFrame, groups: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between texts of a bucket that its lead does not link both, and that are in two components so far.
+
+    Copies differ little from their lead, so a text stands for its differences from it: of two texts x and y of a lead p,
+    the intersection is size(p) - |removed x or removed y| + |added x and added y|. The texts that a lead does not link
+    meet its others in blocks of about BLOCK each; only links leave a task.
+    """
+    near = links.select("a", "b", F.lit(True).alias("near"))
+    label = groups.select(F.col("node").alias("b"), "component")
+    found = pairs.join(near, ["a", "b"], "left").join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
+    counts = found.groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("near").isNull()).alias("lost"), F.min("component").alias("low"), F.max("component").alias("high"))
+    counts = stored(counts.filter("lost > 0 and low <> high").select("a", "n", "lost"))
+    found = found.join(counts, "a")
+    rows = stored(found.join(differences(found.select("a", "b"), texts, size), ["a", "b"]))
+
+    def blocks(df: DataFrame, n: str, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("b"), F.ceil(F.col(n) / BLOCK)).alias("block")
+        return df.groupBy("a", block).agg(F.collect_list(F.struct("b", "component", "n_set", "added", "removed")).alias(name)).drop("block")
+
+    both = blocks(rows.filter("near is null"), "lost", "x").join(blocks(rows, "n", "y"), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def columns(cell: pa.Scalar) -> tuple[np.ndarray, ...]:
+            *plain, added, removed = cell.values.flatten()
+            lists = [(c.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(c.value_lengths().to_numpy())]) for c in (added, removed)]
+            return *(c.to_numpy(zero_copy_only=False) for c in plain), *lists
+
+        def common(one: np.ndarray, all_: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+            """How many values of a sorted array each of several lists holds."""
+            at = np.minimum(np.searchsorted(one, all_), max(len(one) - 1, 0))
+            hit = np.r_[0, np.cumsum(one[at] == all_ if len(one) else np.zeros(len(all_), bool))]
+            return hit[bounds[1:]] - hit[bounds[:-1]]
+
+        for batch in batches:
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                xi, xc, _, (xa, xa_at), (xr, xr_at) = columns(x)
+                yi, yc, n, (ya, ya_at), (yr, yr_at) = columns(y)
+                sizes = n + np.diff(ya_at) - np.diff(yr_at)
+                for i in np.flatnonzero((xc[:, None] != yc).any(1)):
+                    added, removed = np.sort(xa[xa_at[i] : xa_at[i + 1]]), np.sort(xr[xr_at[i] : xr_at[i + 1]])
+                    shared = n - np.diff(yr_at) - len(removed) + common(removed, yr, yr_at) + common(added, ya, ya_at)
+                    union = sizes + n + len(added) - len(removed) - shared
+                    to = yi[(yc != xc[i]) & (shared > 0) & (100 * shared >= percent * union)]
+                    if len(to):
+                        yield pa.record_batch({"a": pa.array(np.minimum(xi[i], to)), "b": pa.array(np.maximum(xi[i], to))})
+
+    return both.select("x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def regrouped(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -130,8 +213,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     table gives an empty result.
 
     Texts with one set are one node, so copies are never paired. In a bucket (texts with one band in common) all are
-    compared with its first; as long as a bucket holds texts of several components, those of its small components are
-    compared with the others, eight times as many each time. Pairs are left out only within a component.
+    compared with its first; where that does not link both of two texts, see beyond_lead.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     made = stored(signatures(source, size))
@@ -142,26 +224,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     bands = reps.select("id", F.explode(hashes).alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = stored(shared)  # a written side lets Spark split the other one where a bucket is large
-    members = stored(bands.join(shared, "bucket"))
-    texts = stored(source.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]))
-    tried = stored(members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    groups = stored(components(stored(linked(tried, reps, texts, size, percent))))
-    waiting, pivots = members.filter("id <> lead").select("bucket", "id"), 8
-    while True:
-        label = waiting.join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        mixed = label.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-        waiting = stored(label.join(stored(mixed), "bucket", "left_semi"))
-        if waiting.isEmpty():
-            break
-        # Members of small components first: what is left of a bucket at last is one component.
-        each = waiting.withColumn("n", F.expr("count(*) over (partition by bucket, component)"))
-        ranked = stored(each.withColumn("rank", F.expr("row_number() over (partition by bucket order by n, component, id)")))
-        first = ranked.filter(F.col("rank") <= pivots).select("bucket", F.col("id").alias("one"), F.col("component").alias("of"), F.col("rank").alias("at"))
-        pairs = first.join(ranked, "bucket").filter((F.col("rank") > F.col("at")) & (F.col("of") != F.col("component")))
-        pairs = stored(pairs.select(F.least("one", "id").alias("a"), F.greatest("one", "id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-        groups = regrouped(groups, stored(linked(pairs, reps, texts, size, percent)))
-        tried = tried.unionByName(pairs)
-        waiting, pivots = ranked.filter(F.col("rank") > pivots).select("bucket", "id"), 8 * pivots
+    members = stored(bands.join(shared, "bucket").filter("id <> lead").select("lead", "id"))
+    names = members.select("id").union(members.select("lead")).distinct()
+    texts = stored(source.join(names, "id", "left_semi").dropDuplicates(["id", "text"]))
+    pairs = stored(members.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    links = stored(linked(stored(agreeing(pairs, reps, percent)), texts, size, percent))
+    groups = stored(components(links))
+    groups = regrouped(groups, stored(beyond_lead(pairs, links, groups, texts, size, percent)))
     ids = known.select("s1", "s2", F.col("id").alias("own")).distinct().join(reps.select("s1", "s2", "id"), ["s1", "s2"])
     ids = ids.join(groups.withColumnRenamed("node", "id"), "id", "left").select("own", F.coalesce("component", "id").alias("component"))
     ids = ids.groupBy("own").agg(F.min("component").alias("component"))
