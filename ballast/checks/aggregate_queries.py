@@ -35,7 +35,7 @@ def _(t):
     return t.seg_obs.select("seq", colour_class(F.col("delta_s")).alias("class"))
 
 
-RECENT = f"service_date>='20240109' and ts>={AS_OF}-{WEEK}"
+RECENT = f"ts>={AS_OF}-{WEEK}"
 
 
 @query("agg_04_train_stats", f"select country, trip_id, service_date, min(ts) first_ts, count(*) n_obs from b_stop_obs where {RECENT} group by 1,2,3")
@@ -63,17 +63,18 @@ def _(t):
     return A.edge_cancels(t.cancels, t.segment_edges, AS_OF, WEEK)
 
 
+# From the full grid of dates, edges and hours: hours served on most dates of a kind, and not on this one.
 CLOSED = f"""with {SVC},
- hs as (select h.*, least(a,b)||'|'||greatest(a,b) as segment, cast(floor(dep_s/3600) as bigint)%24 as "hour" from b_hops h),
- es as (select t.service_id, se.edge, h."hour" from hs h join b_trips t on t.trip_id=h.trip_id join b_refinement r on r.coarse=h.segment join b_segment_edges se on se.segment=r.fine
-  union select t.service_id, se.edge, h."hour" from hs h join b_trips t on t.trip_id=h.trip_id join b_segment_edges se on se.segment=h.segment),
- served as (select distinct n.d, es.edge, es."hour" from es join net n on n.service_id=es.service_id),
- tot as (select daytype, count(*) total from b_dates group by daytype),
- m as (select s.edge, s."hour", b.daytype, count(distinct s.d) m from served s join b_dates b on b.d=s.d group by s.edge, s."hour", b.daytype),
- strong as (select m.edge, m."hour", m.daytype from m join tot on tot.daytype=m.daytype where m.m*2>tot.total),
- cand as (select b.d, st.edge, st."hour" from strong st join b_dates b on b.daytype=st.daytype where b.i<14 and not exists (select 1 from served s where s.d=b.d and s.edge=st.edge and s."hour"=st."hour")),
- isl as (select d, edge, "hour", "hour"-row_number() over (partition by d, edge order by "hour") g from cand)
- select d, edge, cast(min("hour") as int) hour_start, cast(max("hour") as int) hour_end from isl group by d, edge, g having count(*)>=2"""
+ leaf as (select segment, segment as part from b_segments union select coarse, fine from b_refinement),
+ run as (select distinct t.service_id, e.edge, cast(h.dep_s//3600 as bigint)%24 as hr from b_hops h join b_trips t on t.trip_id=h.trip_id
+   join leaf l on l.segment=least(h.a,h.b)||'|'||greatest(h.a,h.b) join b_segment_edges e on e.segment=l.part),
+ day_run as (select distinct n.d, r.edge, r.hr from net n join run r on r.service_id=n.service_id),
+ grid as (select b.d, b.i, b.daytype, k.edge, k.hr, exists (from day_run x where x.d=b.d and x.edge=k.edge and x.hr=k.hr) as served
+   from b_dates b cross join (select distinct edge, hr from day_run) k),
+ habit as (select *, avg(served::int) over (partition by edge, hr, daytype)>0.5 as usual from grid),
+ gap as (select d, edge, hr, coalesce(hr-lag(hr) over (partition by d, edge order by hr)<>1, true)::int as opens from habit where usual and not served and i<14),
+ block as (select d, edge, hr, sum(opens) over (partition by d, edge order by hr) as no from gap)
+ select d, edge, cast(min(hr) as int) hour_start, cast(max(hr) as int) hour_end from block group by d, edge, no having count(*)>1"""
 
 
 @query("job_03_planned_closures", CLOSED)

@@ -11,17 +11,22 @@ from ballast.sources.gtfs import merge_feeds
 from ballast.sources.realtime import union_feeds
 
 AS_OF = 1705000000
+# A service runs on a date if that is added, or if its weekday is flagged within its period; unless it is removed.
 SVC = """
- svc as (select distinct c.service_id, d.d from b_calendar c join b_dates d on d.d between c.start_date and c.end_date and case d.wd when 0 then c.monday when 1 then c.tuesday when 2 then c.wednesday
-   when 3 then c.thursday when 4 then c.friday when 5 then c.saturday else c.sunday end='1'
-   union select service_id, date as d from b_calendar_dates where exception_type='1'),
- net as (select s.* from svc s where not exists (select 1 from b_calendar_dates x where x.exception_type='2' and x.service_id=s.service_id and x.date=s.d))"""
+ known as (select service_id from b_calendar union select service_id from b_calendar_dates),
+ net as (select k.service_id, b.d from known k cross join b_dates b
+   where not exists (from b_calendar_dates x where x.service_id=k.service_id and x.date=b.d and x.exception_type='2')
+   and (exists (from b_calendar_dates x where x.service_id=k.service_id and x.date=b.d and x.exception_type='1')
+     or exists (from b_calendar c where c.service_id=k.service_id and c.start_date<=b.d and c.end_date>=b.d
+       and [c.monday, c.tuesday, c.wednesday, c.thursday, c.friday, c.saturday, c.sunday][b.wd+1]='1')))"""
 RAIL = """
- rr as (select * from b_routes where cast(route_type as int)=2 or cast(route_type as int) between 100 and 117),
- rt as (select * from b_trips where route_id in (select route_id from rr)),
- rst as (select st.* from b_stop_times st where st.trip_id in (select trip_id from rt)),
- rk as (select stop_id from rst union select parent_station from b_stops where stop_id in (select stop_id from rst) and parent_station is not null and parent_station<>''),
- rs as (select * from b_stops where stop_id in (select stop_id from rk))"""
+ kinds(low, high) as (values (2, 2), (100, 117)),
+ rr as (select r.* from b_routes r semi join kinds k on cast(r.route_type as int) between k.low and k.high),
+ rt as (select t.* from b_trips t semi join rr on rr.route_id=t.route_id),
+ rst as (select st.* from b_stop_times st semi join rt on rt.trip_id=st.trip_id),
+ called as (select s.stop_id, nullif(s.parent_station, '') up from b_stops s semi join rst on rst.stop_id=s.stop_id),
+ rk as (select stop_id from called union select up from called where up is not null),
+ rs as (select s.* from b_stops s semi join rk on rk.stop_id=s.stop_id)"""
 TRANSFERS = "select stop_id as from_stop_id, parent_station as to_stop_id from b_stops where parent_station is not null"
 
 
@@ -123,10 +128,14 @@ def _(t):
 
 
 DUP_EVENTS = "select st.trip_id, t.feed, s.cluster_id, st.dep_s from b_stop_times st join b_stops s on s.stop_id=st.stop_id join b_trips t on t.trip_id=st.trip_id"
+# Departures lie on whole minutes: each is laid out over the five minutes it may meet, and equal minutes are counted.
 DUPS = f"""
- ev as ({DUP_EVENTS}), ln as (select trip_id, count(*) n from ev group by trip_id),
- pr as (select e1.trip_id trip_a, e2.trip_id trip_b, count(*) shared from ev e1 join ev e2 on e1.cluster_id=e2.cluster_id and abs(e1.dep_s-e2.dep_s)<=120 and e1.feed<e2.feed group by 1,2),
- dup as (select p.trip_a, p.trip_b, p.shared, la.n n_a, lb.n n_b from pr p join ln la on la.trip_id=p.trip_a join ln lb on lb.trip_id=p.trip_b where p.shared>=0.8*least(la.n,lb.n) and least(la.n,lb.n)>=2)"""
+ call as (select *, dep_s//60 as mi from ({DUP_EVENTS}) q),
+ wide as (select trip_id, feed, cluster_id, mi+k as mi from call, unnest([-2,-1,0,1,2]) o(k)),
+ met as (select w.trip_id trip_a, c.trip_id trip_b, count(*) shared from wide w join call c using (cluster_id, mi) where w.feed<c.feed group by all),
+ size as (select trip_id, count(*) n from call group by all),
+ dup as (select m.*, x.n n_a, y.n n_b from met m join size x on x.trip_id=m.trip_a join size y on y.trip_id=m.trip_b
+   where least(x.n, y.n)>1 and 5*m.shared>=4*least(x.n, y.n))"""
 
 
 @query("jn_08_duplicate_trips", f"with {DUPS} select * from dup")
@@ -134,8 +143,9 @@ def _(t):
     return D.duplicate_trips(t.sql(DUP_EVENTS))
 
 
-# no oracle: its statement pairs all trips of a date before it meets the duplicates; tests compare by brute force
-@query("jn_09_duplicate_trips_by_day")
+@query("jn_09_duplicate_trips_by_day", f"""with {DUPS}, {SVC}
+ select p.d, dup.* from dup join b_trips ta on ta.trip_id=trip_a join b_trips tb on tb.trip_id=trip_b
+ join net p on p.service_id=ta.service_id join net q on q.service_id=tb.service_id and q.d=p.d""")
 def _(t):
     days = J.service_days(t.calendar, t.calendar_dates, t.dates)
     return D.duplicate_trips_by_day(t.sql(DUP_EVENTS), t.trips, days)
@@ -169,15 +179,19 @@ def _(t):
     return J.synthesize_on_time(t.sql(PLAN), t.sql(CHANGES), AS_OF).select("stop_id", "head", "event_ts", "delay_s")
 
 
-@query("jn_16_uncovered_closures", """select distinct e.edge from b_segment_edges e where e.edge not in (select edge from b_edge_groups where txt='1-URGENT' and src='src1')""")
+# planned closures of a source are those that no closure of another source covers
+PLANNED = "select distinct edge from b_edge_groups where src='src1'"
+
+
+@query("jn_16_uncovered_closures", f"select edge from ({PLANNED}) p except select edge from b_edge_groups where sev='closed' and src<>'src1'")
 def _(t):
-    return J.uncovered_closures(t.segment_edges, t.edge_groups.filter("txt='1-URGENT' and src='src1'"))
+    return J.uncovered_closures(t.sql(PLANNED), t.edge_groups.filter("sev='closed' and src<>'src1'"))
 
 
 STATUS_SQL = """
- col as (select edge, cast(max(delta_s) as int) p90, count(*) n from b_seg_obs s join b_segment_edges e on e.segment=s.segment where s.ts%7=1 group by edge),
- blk as (select distinct e.edge from b_cancels c join b_segment_edges e on e.segment=c.segment where c.ts%11=1),
- wrk as (select edge, case max(case sev when 'closed' then 3 when 'intl' then 2 else 1 end) when 3 then 'closed' when 2 then 'intl' else 'reduced' end sev from b_edge_groups where txt='2-HIGH' group by edge)"""
+ col as (select edge, cast(max(delta_s) as int) p90, count(*) n from b_seg_obs s join b_segment_edges e on e.segment=s.segment group by edge),
+ blk as (select distinct e.edge from b_cancels c join b_segment_edges e on e.segment=c.segment),
+ wrk as (select edge, case max(case sev when 'closed' then 3 when 'intl' then 2 else 1 end) when 3 then 'closed' when 2 then 'intl' else 'reduced' end sev from b_edge_groups group by edge)"""
 
 
 @query("jn_17_edge_status", f"""with {STATUS_SQL}
@@ -186,9 +200,9 @@ STATUS_SQL = """
 def _(t):
     from ballast.functions.geo import colour_class
 
-    colours = t.sql("select edge, cast(max(delta_s) as int) p90, count(*) n from b_seg_obs s join b_segment_edges e on e.segment=s.segment where s.ts%7=1 group by edge")
-    blocked = t.sql("select distinct e.edge from b_cancels c join b_segment_edges e on e.segment=c.segment where c.ts%11=1")
-    return J.edge_status(colours.withColumn("class", colour_class(F.col("p90"))), blocked, A.works_by_edge(t.edge_groups.filter("txt='2-HIGH'")))
+    colours = t.sql("select edge, cast(max(delta_s) as int) p90, count(*) n from b_seg_obs s join b_segment_edges e on e.segment=s.segment group by edge")
+    blocked = t.sql("select distinct e.edge from b_cancels c join b_segment_edges e on e.segment=c.segment")
+    return J.edge_status(colours.withColumn("class", colour_class(F.col("p90"))), blocked, A.works_by_edge(t.edge_groups))
 
 
 UIC_STOPS = "select s_suppkey k, 'stop_point:X:'||case when s_suppkey%4=0 then 'none' else (case s_nationkey%5 when 0 then '84' when 1 then '88' when 2 then '87' when 3 then '80' else '85' end)||lpad(cast(s_nationkey as string),5,'0') end||case when s_suppkey%2=0 then '6' else '' end as stop_id from supplier"
@@ -209,7 +223,7 @@ def _(t):
     return J.resolve_station_code(t.sql(CODES), t.sql(STATION_CODES), t.clusters)
 
 
-SECTION, CLOSED = "select distinct src as disruption_id, edge from b_edge_groups where sev<>'intl'", "select distinct src as disruption_id, edge from b_edge_groups where sev='closed' and txt='1-URGENT'"
+SECTION, CLOSED = "select distinct src as disruption_id, edge from b_edge_groups where sev<>'intl'", "select distinct src as disruption_id, edge from b_edge_groups where sev='closed'"
 
 
 @query("set_03_split_edges", f"with s as ({SECTION}), c as ({CLOSED}) select s.*, exists(select 1 from c where c.disruption_id=s.disruption_id and c.edge=s.edge) closed from s")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +23,16 @@ def cell(coordinate: Column, size: float = 0.01) -> Column:
     return F.floor(coordinate * (1.0 / size) + 0.5).cast("bigint")
 
 
-def grid_cells(df: DataFrame, lat: str = "lat", lon: str = "lon", size: float = 0.01, reach: int = 0) -> DataFrame:
-    """Add cell_y, cell_x; with a reach, one row per cell of the surrounding square."""
+def grid_cells(df: DataFrame, lat: str = "lat", lon: str = "lon", size: float = 0.01, reach_m: float = 0) -> DataFrame:
+    """Add cell_y, cell_x; with a reach, one row per cell that holds a point so near, wider towards the poles."""
     out = df.withColumn("cell_y", cell(F.col(lat), size)).withColumn("cell_x", cell(F.col(lon), size))
-    if reach:
-        offsets = F.array(*[F.lit(i) for i in range(-reach, reach + 1)])
-        out = out.withColumn("cell_y", F.explode(F.transform(offsets, lambda o: F.col("cell_y") + o)))
-        out = out.withColumn("cell_x", F.explode(F.transform(offsets, lambda o: F.col("cell_x") + o)))
+    if reach_m:
+        degrees = math.degrees(reach_m / EARTH_RADIUS_M)
+        narrow = F.cos(F.radians(F.least(F.abs(F.col(lat)) + degrees, F.lit(89.9))))
+        up, across = F.lit(math.ceil(degrees / size)), F.ceil(F.lit(degrees / size) / narrow).cast("int")
+        y, x = F.col("cell_y"), F.col("cell_x")
+        out = out.withColumn("cell_x", F.explode(F.sequence(x - across, x + across)))
+        out = out.withColumn("cell_y", F.explode(F.sequence(y - up, y + up)))
     return out
 
 

@@ -120,55 +120,36 @@ def nearby_city(lat: Column, lon: Column) -> Column:
     return F.coalesce(*hits)
 
 
-def _rewrites(name: Column, *rules: tuple[str, str]) -> list[Column]:
-    """Each rule's replacement where its pattern matches, else NULL."""
-    return [F.when(name.rlike(pattern), F.regexp_replace(name, pattern, out)) for pattern, out in rules]
-
-
-def _grow(variants: Column, rules) -> Column:
-    """The variants, then what the rules make of each of them."""
-    more = F.flatten(F.transform(variants, lambda v: F.array(*rules(v))))
-    return _tidy(F.concat(variants, more))
-
-
-def _tidy(variants: Column) -> Column:
-    clean = F.transform(variants, lambda v: F.trim(F.regexp_replace(v, r"\s+", " ")))
-    return F.array_distinct(F.filter(clean, lambda v: v.isNotNull() & (v != "")))
+#: A timetable name's parts: line kind, city letter, head, what follows its comma, what stands in brackets.
+NAME_PARTS = r"^(?:(S\+U|S|U)\s+|(D)-)?([^,(]+?)(?:\s*,\s*([^(]+?))?(?:\s*\((.+)\))?(?:\s+S)?$"
+#: Other ways to write what a name holds; each adds to the spellings found so far.
+SPELLINGS = (
+    ("Hauptbahnhof", "Hbf"), (r"([Ss])tr\.", "$1traße"), (r"\s(?:Bf|Bhf)$", ""), (r"(?<!aupt)[ -]?[Bb]ahnhof$", ""),
+    (r"\s*\(([^)]*)\)\s*", "($1)"), (r"\s*\([^)]*\)\s*", " "),
+)
 
 
 def name_variants(name: Column, lat: Column, lon: Column) -> Column:
-    """Railway-style spellings of a timetable station name, most literal first (array<string>)."""
-    metro = r"^(?:S\+U|S|U)\s+(.+?)(?:\s+Bhf)?\s*\((.+)\)$"
-    listed = r"^(.+?),\s*(.+)$"
-    bracket = r"^(.+?)\s*\((.+)\)$"
-    head, tail = F.regexp_extract(name, listed, 1), F.regexp_extract(name, listed, 2)
-    repeats_head = F.startswith(F.lower(tail), F.lower(head))
-    qualifier = F.regexp_extract(name, bracket, 2)
-    base = _tidy(F.array(
-        name,
-        *_rewrites(name, (metro, "$2 $1"), (metro, "$2-$1"), (r"^(?:S\+U|S|U)\s+(.+)$", "$1"),
-                   (r"^D-(.*?)(?:\s+S)?$", "Düsseldorf-$1"), (r"^D-(.*?)(?:\s+S)?$", "Düsseldorf $1")),
-        *_rewrites(name, (listed, "$2")),
-        *[F.when(~repeats_head, v) for v in _rewrites(name, (listed, "$1 $2"), (listed, "$1-$2"))],
-        *[F.when(qualifier != F.lower(qualifier), v) for v in _rewrites(name, (bracket, "$2 $1"))],
-    ))
-    city = nearby_city(lat, lon)
-    named = F.exists(base, lambda v: F.contains(F.lower(v), F.lower(city)))
-    plain = F.regexp_replace(name, r"\s*\(.*\)$", "")
-    with_city = _tidy(F.concat(base, F.when(city.isNotNull() & ~named, F.array(
-        F.concat(city, F.lit(" "), plain),
-        F.concat(city, F.lit("-"), plain),
-        F.when(plain.rlike("(?i)bahnhof$"),
-               F.concat(city, F.lit(" "), F.trim(F.regexp_replace(plain, "(?i)bahnhof$", "")))),
-    )).otherwise(F.array().cast("array<string>"))))
-    spelled = _grow(with_city, lambda v: [
-        *_rewrites(v, (r"([Ss])tr\.", "$1traße"), ("Hauptbahnhof", "Hbf"), (r"\s+(Bf|Bhf|Bahnhof)$", "")),
-        F.when(v.rlike("(?i)bahnhof$") & ~v.rlike("(?i)hauptbahnhof$"),
-               F.regexp_replace(v, "(?i)[ -]*bahnhof$", "")),
-    ])
-    tight = _grow(spelled, lambda v: [F.when(F.contains(v, F.lit("(")),
-                                             F.regexp_replace(F.regexp_replace(v, r"\s*\(", "("), r"\)\s*", ")"))])
-    return _grow(tight, lambda v: _rewrites(v, (r"\s*\([^)]*\)\s*", " ")))
+    """Railway-style spellings of a timetable station name, most literal first (array<string>).
+
+    A name is read once as place and area: the area is what stands before a comma, in brackets with a capital letter, or
+    behind a city letter, else the city around the point. Both are put together in either way, and the results respelled.
+    """
+    line, letter, head, tail, inner = (F.nullif(F.regexp_extract(name, NAME_PARTS, i), F.lit("")) for i in range(1, 6))
+    proper = F.when(inner != F.lower(inner), inner)
+    place = F.regexp_replace(F.coalesce(tail, head, name), r"\s+Bhf$", "")
+    told = F.coalesce(F.when(letter.isNotNull(), F.lit("Düsseldorf")), F.when(tail.isNotNull(), head), proper)
+    around = nearby_city(lat, lon)
+    area = F.coalesce(told, F.when(~F.contains(F.lower(name), F.lower(around)), around))
+    joins = ~F.startswith(F.lower(place), F.lower(area))
+    joined = [F.when(joins, F.concat(area, F.lit(glue), place)) for glue in (" ", "-")]
+    alone = F.when(line.isNotNull() | tail.isNotNull(), place)
+    found = F.filter(F.array(name, alone, *joined), lambda v: v.isNotNull())
+    for pattern, out in SPELLINGS:
+        more = F.transform(F.filter(found, lambda v, p=pattern: v.rlike(p)), lambda v, p=pattern, o=out: F.regexp_replace(v, p, o))
+        found = F.array_union(found, more)
+    tidy = F.transform(found, lambda v: F.trim(F.regexp_replace(v, r"\s+", " ")))
+    return F.array_distinct(F.filter(tidy, lambda v: v != ""))
 
 
 def name_similarity(query: Column, candidate: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ballast.functions.geo import haversine_m, segment_id
 from ballast.functions.time import service_day_floor
 from ballast.operators.joins import refine, to_edges
-from ballast.operators.sequence_tools import at_instants, beside, present, stop_chunk
+from ballast.operators.sequence_tools import at_instants, beside, present
 
 TRAIN = ["country", "trip_id", "service_date"]
 SEVERITY_RANK = {"closed": 3, "intl": 2, "reduced": 1}
@@ -67,9 +67,12 @@ def edge_delay_by_train(seg_obs: DataFrame, segment_edges: DataFrame, as_of: Dat
     return rank_value(counts, ["as_of", "edge"], "delta_s").withColumnRenamed("n_obs", "n_trains")
 
 
-def recent_days(obs: DataFrame, as_of: int, window_s: int, days: int = 2) -> DataFrame:
-    """Observations of the window, bounded by service date so that day partitions are pruned."""
-    floor = service_day_floor(F.lit(as_of), 24 * days)
+def recent_days(obs: DataFrame, as_of: int, window_s: int, longest_run_h: int = 72) -> DataFrame:
+    """Observations of the window, bounded by service date so that day partitions are pruned.
+
+    A train observed in the window set out in it or at most ``longest_run_h`` before, so the bound takes no row away.
+    """
+    floor = service_day_floor(F.lit(as_of), -(-window_s // 3600) + longest_run_h)
     return obs.filter((F.col("service_date") >= floor) & (F.col("ts") >= as_of - window_s))
 
 
@@ -281,7 +284,7 @@ def source_coverage(poll_log: DataFrame, sources: DataFrame, as_of: int, stale_s
 
 def edge_cover(node_paths: DataFrame) -> DataFrame:
     """Which segments run over each pair of neighbouring nodes: u, v, segment (distinct rows)."""
-    paired = beside(node_paths, ["segment"], ["pos"], ["node_id"], stop_chunk("pos"))
+    paired = beside(node_paths, ["segment"], ["pos"], ["node_id"])
     pairs = paired.filter(F.col("next_node_id").isNotNull() & (F.col("node_id") != F.col("next_node_id")))
     return pairs.select(
         F.least("node_id", "next_node_id").alias("u"), F.greatest("node_id", "next_node_id").alias("v"), "segment"
@@ -290,7 +293,7 @@ def edge_cover(node_paths: DataFrame) -> DataFrame:
 
 def polyline_steps(geometry: DataFrame, key: str = "id") -> DataFrame:
     """Consecutive points of each polyline with the distance between them."""
-    paired = beside(geometry, [key], ["seq"], ["lat", "lon"], stop_chunk("seq"))
+    paired = beside(geometry, [key], ["seq"], ["lat", "lon"])
     step = haversine_m(F.col("lat"), F.col("lon"), F.col("next_lat"), F.col("next_lon"))
     return paired.withColumn("step_m", step)
 
@@ -350,7 +353,7 @@ def stratified_sample(df: DataFrame, category: str, key: str, k: int = 5, seed:
 
 def pattern_links(patterns: DataFrame, pair_edges: DataFrame) -> DataFrame:
     """Edges under each link of each pattern: pattern_id, n_trips, pos, edge (link pos -> pos+1)."""
-    paired = beside(patterns, ["pattern_id"], ["pos"], ["cluster"], stop_chunk("pos"))
+    paired = beside(patterns, ["pattern_id"], ["pos"], ["cluster"])
     links = paired.filter(F.col("next_cluster").isNotNull()).withColumn(
         "segment", segment_id(F.col("cluster"), F.col("next_cluster")))
     return links.join(pair_edges, "segment", "left").select("pattern_id", "n_trips", "pos", "edge")

@@ -45,7 +45,7 @@ def attach_groups(groups: DataFrame, uic_clusters: DataFrame, max_m: int = 300)
         uic_clusters.filter(F.col("lat").isNotNull()).select(
             F.col("cluster_id").alias("anchor"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"),
             norm_station(F.col("name")).alias("name_key")),
-        "a_lat", "a_lon", reach=1)
+        "a_lat", "a_lon", reach_m=max_m)
     keys = ["cell_y", "cell_x", "name_key"]
     heads = groups.select(*keys, "first").distinct()
     distance = haversine_m(F.col("first.lat"), F.col("first.lon"), F.col("a_lat"), F.col("a_lon"))

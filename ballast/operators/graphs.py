@@ -7,6 +7,8 @@ the size of the next frontier.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +16,14 @@ from ballast.functions.geo import haversine_m, segment_id
 from ballast.functions.text import norm_compact
 from ballast.operators.aggregates import edge_cover, pair_edges
 from ballast.operators.joins import refine, to_edges
-from ballast.operators.sequence_tools import beside, running_total, stop_chunk
+from ballast.operators.sequence_tools import beside, running_total
 from ballast.session import cut_lineage
 
 EPSILON_M = 1e-9
 
 
 def relax_paths(pairs: DataFrame, starts: DataFrame, links: DataFrame, exits: DataFrame,
-                max_rounds: int = 100_000) -> DataFrame:
+                max_rounds: int | None = None) -> DataFrame:
     """Cheapest path of each pair: pair, total, steps (link tags), node (the exit taken).
 
     pairs: pair, goal_lat, goal_lon, cap (greatest total allowed) and w_max (links must be
@@ -31,7 +33,7 @@ def relax_paths(pairs: DataFrame, starts: DataFrame, links: DataFrame, exits: Da
     """
     state = starts.select("pair", "node", "g", "steps", F.lit(0).alias("round"))
     state = cut_lineage(state)
-    for number in range(1, max_rounds + 1):
+    for number in count(1) if max_rounds is None else range(1, max_rounds + 1):
         ends = state.join(exits, ["pair", "node"]).groupBy("pair").agg(F.min(F.col("g") + F.col("exit_w")).alias("_done"))
         frontier = state.filter(F.col("round") == number - 1).join(ends, "pair", "left").join(pairs, "pair")
         frontier = frontier.filter(F.col("_done").isNull() | (F.col("g") < F.col("_done")))
@@ -119,13 +121,13 @@ def leaf_graph(refinement: DataFrame, segment_edges: DataFrame) -> DataFrame:
     return pairs.union(pairs.select("v", "u")).distinct()
 
 
-def bfs_paths(pairs: DataFrame, graph: DataFrame, max_hops: int = 25) -> DataFrame:
+def bfs_paths(pairs: DataFrame, graph: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Path with fewest links per pair of clusters: pair_id, pos, segment; equal ones take the lower predecessor."""
     goals = cut_lineage(pairs.select("pair_id", "a", "b").filter(F.col("a") != F.col("b")))
     links = cut_lineage(graph)
     seen = cut_lineage(goals.select(F.col("a").alias("start"), F.col("a").alias("node")).distinct().withColumn("path", F.array("node")))
     frontier = seen
-    for _ in range(max_hops):
+    for _ in count() if max_hops is None else range(max_hops):
         # starts with every goal reached stop growing
         open_goals = goals.join(seen.select(F.col("start").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti")
         growing = frontier.join(open_goals.select(F.col("a").alias("start")).distinct(), "start", "left_semi")
@@ -142,12 +144,12 @@ def bfs_paths(pairs: DataFrame, graph: DataFrame, max_hops: int = 25) -> DataFra
 
 
 def chain_edges(chains: DataFrame, refinement: DataFrame, segment_edges: DataFrame,
-                max_hops: int = 25) -> dict[str, DataFrame]:
+                max_hops: int | None = None) -> dict[str, DataFrame]:
     """Edges under chains of clusters (chain_id, pos, cluster), and the pairs no edge is known for.
 
     Pairs map over their refinement; only those that find no edge are bridged over the leaf graph.
     """
-    paired = beside(chains, ["chain_id"], ["pos"], ["cluster"], stop_chunk("pos"))
+    paired = beside(chains, ["chain_id"], ["pos"], ["cluster"])
     links = paired.filter(F.col("next_cluster").isNotNull() & (F.col("cluster") != F.col("next_cluster"))).select(
         "chain_id", F.col("cluster").alias("a"), F.col("next_cluster").alias("b"),
         segment_id(F.col("cluster"), F.col("next_cluster")).alias("segment"))
@@ -183,13 +185,15 @@ def expand_by_path(pairs: DataFrame, paths: DataFrame, dictionary: DataFrame, re
     ).filter(F.col("p").isNotNull() & F.col("q").isNotNull())
     lo, hi = F.least("p", "q"), F.greatest("p", "q")
     inside = ends.join(places, "head").filter(F.col("pos").between(lo, hi))
-    steps = beside(inside, key, ["pos"], ["at"], stop_chunk("pos"))
+    steps = beside(inside, key, ["pos"], ["at"])
     moves = steps.filter(F.col("next_at").isNotNull() & (F.col("at") != F.col("next_at")))
     counted = moves.groupBy(*key).agg(F.count("*").alias("n_links")).filter(F.col("n_links") >= 2)
     walked = moves.join(counted, key).withColumn("_link", segment_id(F.col("at"), F.col("next_at")))
     parts = refine(walked.select(*key, "pos", "n_links", "_link"), refinement, on="_link")
     expanded = parts.select(*key, "fine", (F.col("fraction") / F.col("n_links")).alias("fraction"),
-                            (F.col("pos") * 1000 + F.col("ord")).cast("int").alias("ord"))
+                            F.struct(F.col("pos").cast("int").alias("step"), F.col("ord").cast("int").alias("part")).alias("_place"))
+    along = Window.partitionBy(*key).orderBy("_place")
+    expanded = expanded.select(*key, "fine", "fraction", (F.row_number().over(along) - 1).alias("ord"))
     rest = refine(wanted.join(expanded.select(*key).distinct(), key, "left_anti"), refinement)
     return expanded.unionByName(rest.select(*key, "fine", "fraction", F.col("ord").cast("int").alias("ord")))
 
@@ -275,12 +279,9 @@ def route_pairs(pairs: DataFrame, link_nodes: DataFrame, snap: DataFrame, cluste
     part = F.when(F.col("kind") == "<", F.col("pos") <= F.col("cut")).when(F.col("kind") == ">", F.col("pos") >= F.col("cut")).otherwise(F.lit(True))
     backwards = F.when(F.col("kind") == "-", F.lit(True)).when(F.col("kind") == "+", F.lit(False)).otherwise((F.col("kind") == "<") != F.col("leaving"))
     rows = walked.filter(part).withColumn("_i", F.when(backwards, -F.col("pos")).otherwise(F.col("pos")))
-    # order over steps and nodes in one number: a link has fewer nodes than the factor
-    rows = rows.withColumn("_at", F.col("step").cast("bigint") * 1_000_000 + F.col("_i"))
-    chunk = F.floor(F.col("_at") / 1_000_000 + 0.5).cast("bigint")
-    fresh = beside(rows.select("pair", "_at", "node_id"), ["pair"], ["_at"], ["node_id"], chunk, forward=False)
+    fresh = beside(rows.select("pair", "step", "_i", "node_id"), ["pair"], ["step", "_i"], ["node_id"], forward=False)
     fresh = fresh.filter(F.col("prev_node_id").isNull() | (F.col("prev_node_id") != F.col("node_id")))
-    numbered = running_total(fresh, ["pair"], ["_at"], F.lit(1), chunk, "_n")
+    numbered = running_total(fresh, ["pair"], ["step", "_i"], F.lit(1), None, "_n")
     return numbered.select(F.col("pair").alias("segment"), (F.col("_n") - 1).cast("int").alias("pos"), "node_id")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballast.operators.filters import rail_routes
-from ballast.operators.sequence_tools import beside, present, running_total, stop_chunk
+from ballast.operators.sequence_tools import beside, present, running_total
 
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
@@ -80,10 +80,10 @@ def trip_metadata(trips: DataFrame, routes: DataFrame, stop_times: DataFrame, st
                 F.coalesce(F.col("_cname"), F.col("cluster"), F.nullif(F.col("stop_name"), F.lit("")), F.col("stop_id")).alias("name"),
                 "arrival_time", "departure_time")
     )
-    paired = beside(seq, ["trip_id"], ["seq"], ["cluster"], stop_chunk("seq"), forward=False)
+    paired = beside(seq, ["trip_id"], ["seq"], ["cluster"], forward=False)
     fresh = F.coalesce(F.col("prev_cluster") != F.col("cluster"), F.lit(True)).cast("int")
     numbered = running_total(paired.withColumn("_fresh", fresh), ["trip_id"], ["seq"], F.col("_fresh"),
-                             stop_chunk("seq"), "pos")
+                             None, "pos")
     merged = numbered.groupBy("trip_id", "pos").agg(
         F.min_by(F.struct("cluster", "name", "arrival_time"), "seq").alias("_in"),
         F.max_by(F.struct("departure_time"), "seq").alias("_out"),

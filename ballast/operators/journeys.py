@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballast.session import cut_lineage
 
 
-def earliest_arrivals(queries: DataFrame, stop_times_on_day: DataFrame, max_rounds: int = 6,
+def earliest_arrivals(queries: DataFrame, stop_times_on_day: DataFrame, max_rounds: int | None = None,
                       transfer_s: int = 300) -> DataFrame:
-    """Arrival at the destination per number of trains, where one more train is faster.
+    """Arrival at the destination per number of trains, where one more train is faster; rounds go on until none is.
 
     queries: query_id, origin, destination, depart_s. stop_times_on_day: trip_id, seq, cluster,
     dep_s. Each round boards, per query and trip, at the first stop that can be caught from a
@@ -21,7 +23,7 @@ def earliest_arrivals(queries: DataFrame, stop_times_on_day: DataFrame, max_roun
     goals = queries.select("query_id", "destination")
     best = cut_lineage(queries.select("query_id", F.col("origin").alias("cluster"), F.col("depart_s").cast("int").alias("arr"), F.lit(0).alias("round")))
     results = None
-    for number in range(1, max_rounds + 1):
+    for number in count(1) if max_rounds is None else range(1, max_rounds + 1):
         ready = F.col("arr") + F.lit(0 if number == 1 else transfer_s)
         target = best.join(goals, (best["query_id"] == goals["query_id"]) & (best["cluster"] == goals["destination"])).select(
             best["query_id"], F.col("arr").alias("_limit"))

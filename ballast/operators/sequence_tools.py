@@ -12,44 +12,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_STOPS = 1024
-
-
-def stop_chunk(col: str, size: int = CHUNK_STOPS) -> Column:
-    return F.floor(F.col(col) / size).cast("bigint")
-
-
 def day_chunk(col: str = "ts") -> Column:
     return F.floor(F.col(col) / 86400).cast("bigint")
 
 
 def beside(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str],
-           chunk: Column, forward: bool = True, prefix: str | None = None) -> DataFrame:
-    """Add the named columns of the next (or previous) row of the same group.
+           chunk: Column | None = None, forward: bool = True, prefix: str | None = None) -> DataFrame:
+    """Add the named columns of the next (or previous) row of the same group, as next_<v> / prev_<v>.
 
-    ``chunk`` must not decrease along ``order``. Columns are named next_<v> / prev_<v>.
+    Without ``chunk`` a group is one window: for trips, polylines and chains, which are short. With it, for groups of
+    any size, windows end at chunk borders (``chunk`` must not decrease along ``order``), and only the first and last
+    row of each chunk meet those of the others, in a second window.
     """
     keys, order = list(keys), list(order)
     prefix = prefix or ("next_" if forward else "prev_")
-    chunked = df.withColumn("_chunk", chunk)
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     shift = F.lead if forward else F.lag
     payload = F.struct(*[F.col(v).alias(v) for v in values])
-    local = chunked.withColumn("_side", shift(payload).over(inside))
-    # one row per chunk: what its neighbouring chunk needs to see of it
-    pick = F.min_by if forward else F.max_by
-    rims = chunked.groupBy(*keys, "_chunk").agg(pick(payload, F.struct(*order)).alias("_rim"))
-    along = Window.partitionBy(*keys).orderBy("_chunk")
-    rims = rims.select(*keys, "_chunk", shift("_rim").over(along).alias("_rim")).filter(F.col("_rim").isNotNull())
-    joined = local.join(rims, [*keys, "_chunk"], "left").withColumn("_side", F.coalesce("_side", "_rim"))
     added = [F.col("_side")[v].alias(f"{prefix}{v}") for v in values]
-    return joined.select(*df.columns, *added)
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    if chunk is None:
+        return df.withColumn("_side", shift(payload).over(whole)).select(*df.columns, *added)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    back = F.lag if forward else F.lead
+    local = df.withColumn("_chunk", chunk).withColumns({
+        "_side": shift(payload).over(inside), "_other": back(F.lit(1)).over(inside),
+    })
+    rims = local.filter(F.col("_side").isNull() | F.col("_other").isNull())
+    met = rims.withColumn("_open", F.col("_side").isNull()).withColumn("_side", shift(payload).over(whole)).filter("_open")
+    return local.filter(F.col("_side").isNotNull()).select(*df.columns, *added).unionByName(met.select(*df.columns, *added))
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
-                  chunk: Column, name: str, inclusive: bool = True) -> DataFrame:
-    """Add the running sum of ``value`` along the order of each group."""
+                  chunk: Column | None, name: str, inclusive: bool = True) -> DataFrame:
+    """Add the running sum of ``value`` along the order of each group; without ``chunk`` a group is one window."""
     keys, order = list(keys), list(order)
+    if chunk is None:
+        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        return df.withColumn("_value", value).select(*df.columns, F.coalesce(F.sum("_value").over(frame), F.lit(0)).alias(name))
     chunked = df.withColumn("_chunk", chunk).withColumn("_value", value)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)

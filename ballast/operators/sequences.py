@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions.geo import segment_id
 from ballast.operators.joins import refine
-from ballast.operators.sequence_tools import beside, day_chunk, present, running_total, stop_chunk
+from ballast.operators.sequence_tools import beside, day_chunk, present, running_total
 
 SKIPPED, CANCELED = "SKIPPED", "CANCELED"
 MAX_SANE_DELTA_S = 7200
@@ -28,7 +28,7 @@ def hops(stop_times: DataFrame, stop_cluster: DataFrame) -> DataFrame:
     """Consecutive different clusters of each trip: keys, seq, a, b and the departure at a."""
     seq = stop_sequence(stop_times, stop_cluster)
     keys = present(seq, "feed", "trip_id")
-    paired = beside(seq, keys, ["seq"], ["cluster"], stop_chunk("seq"))
+    paired = beside(seq, keys, ["seq"], ["cluster"])
     moved = paired.filter(F.col("next_cluster").isNotNull() & (F.col("cluster") != F.col("next_cluster")))
     extra = present(seq, "dep_s", "service_id")
     return moved.select(*keys, "seq", F.col("cluster").alias("a"), F.col("next_cluster").alias("b"), *extra)
@@ -43,7 +43,7 @@ def segments(hops: DataFrame) -> DataFrame:
 def collapse_repeats(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str,
                      chunk: Column | None = None) -> DataFrame:
     """Keep the first row of each run of equal values."""
-    paired = beside(df, key, order, [value], stop_chunk(order[0]) if chunk is None else chunk, forward=False)
+    paired = beside(df, key, order, [value], chunk, forward=False)
     before = F.col(f"prev_{value}")
     return paired.filter(before.isNull() | (before != F.col(value))).select(*df.columns)
 
@@ -65,7 +65,7 @@ def segment_deltas(updates: DataFrame, refinement: DataFrame) -> DataFrame:
     keys = _entity(updates)
     explicit = _listed(updates).filter(~F.col("stop_rel").eqNullSafe(SKIPPED) & F.col("delay_s").isNotNull())
     explicit = explicit.select(*keys, "stu_pos", "cluster", "delay_s", "event_ts")
-    paired = beside(explicit, keys, ["stu_pos"], ["cluster", "delay_s", "event_ts"], stop_chunk("stu_pos"))
+    paired = beside(explicit, keys, ["stu_pos"], ["cluster", "delay_s", "event_ts"])
     moved = paired.filter(F.col("next_cluster").isNotNull() & (F.col("cluster") != F.col("next_cluster")))
     coarse = moved.select(
         *keys, "stu_pos", segment_id(F.col("cluster"), F.col("next_cluster")).alias("segment"),
@@ -86,7 +86,7 @@ def skipped_stretches(updates: DataFrame, refinement: DataFrame) -> DataFrame:
     """Fine segments between two skipped stops that follow each other among known stops."""
     keys = _entity(updates)
     known = _listed(updates).select(*keys, "stu_pos", "cluster", "stop_rel")
-    paired = beside(known, keys, ["stu_pos"], ["cluster", "stop_rel"], stop_chunk("stu_pos"), forward=False)
+    paired = beside(known, keys, ["stu_pos"], ["cluster", "stop_rel"], forward=False)
     both = (F.col("stop_rel") == SKIPPED) & (F.col("prev_stop_rel") == SKIPPED)
     coarse = paired.filter(both & (F.col("cluster") != F.col("prev_cluster"))).select(
         *keys, segment_id(F.col("cluster"), F.col("prev_cluster")).alias("segment")
@@ -115,7 +115,7 @@ def latest_stop_state(records: DataFrame) -> DataFrame:
 def neighbour_pairs(stop_state: DataFrame) -> DataFrame:
     """Known stops of a trip paired with the next known one, however far apart."""
     values = ["cluster", "delay_s", "event_ts", "service_date", "cancelled"]
-    paired = beside(stop_state, ["head"], ["idx"], values, stop_chunk("idx"))
+    paired = beside(stop_state, ["head"], ["idx"], values)
     return paired.filter(F.col("next_cluster").isNotNull() & (F.col("cluster") != F.col("next_cluster")))
 
 
@@ -161,7 +161,7 @@ def deleted_runs(impacted_stops: DataFrame) -> DataFrame:
     """Chains of deleted stops, one row per known stop: a stop with another effect ends a chain."""
     keys = ["disruption_id", "object_no"]
     broken = (~F.col("effect").eqNullSafe("deleted")).cast("int")
-    numbered = running_total(impacted_stops, keys, ["stop_no"], broken, stop_chunk("stop_no"), "run_no")
+    numbered = running_total(impacted_stops, keys, ["stop_no"], broken, None, "run_no")
     deleted = numbered.filter((F.col("effect") == "deleted") & F.col("cluster").isNotNull())
     return deleted.select(*keys, F.col("run_no").cast("bigint").alias("run_no"), F.col("stop_no").alias("pos"), "cluster")
 
@@ -182,7 +182,7 @@ def trip_patterns(stop_seq: DataFrame) -> DataFrame:
     """
     keys = present(stop_seq, "feed", "trip_id")
     runs = collapse_repeats(stop_seq.filter(F.col("cluster").isNotNull()), keys, ["seq"], "cluster")
-    numbered = running_total(runs, keys, ["seq"], F.lit(1), stop_chunk("seq"), "pos")
+    numbered = running_total(runs, keys, ["seq"], F.lit(1), None, "pos")
     part = F.struct("pos", "cluster")
     digests = numbered.groupBy(*keys).agg(
         F.count("*").alias("n"),

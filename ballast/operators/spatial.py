@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions.geo import grid_cells, haversine_m
 from ballast.operators.aggregates import polyline_steps
-from ballast.operators.sequence_tools import beside, running_total, stop_chunk
+from ballast.operators.sequence_tools import beside, running_total
 
 # Country of a UIC code by its first two digits.
 UIC_COUNTRY = {"84": "NL", "88": "BE", "87": "FR", "80": "DE", "85": "CH"}
@@ -16,8 +16,8 @@ OVERLAP_CELL = 0.004
 
 
 def snap_stations(clusters: DataFrame, nodes: DataFrame, max_m: float = 1500.0) -> DataFrame:
-    """Nearest rail node of each cluster within reach and within two cells of 0.01 degree."""
-    around = grid_cells(clusters.filter(F.col("lat").isNotNull()).select("cluster_id", "lat", "lon"), reach=2)
+    """Nearest rail node of each cluster nearer than ``max_m``."""
+    around = grid_cells(clusters.filter(F.col("lat").isNotNull()).select("cluster_id", "lat", "lon"), reach_m=max_m)
     spots = grid_cells(nodes.select("node_id", F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon")), "n_lat", "n_lon")
     distance = haversine_m(F.col("lat"), F.col("lon"), F.col("n_lat"), F.col("n_lon"))
     near = around.join(spots, ["cell_y", "cell_x"]).withColumn("dist_m", distance).filter(F.col("dist_m") < max_m)
@@ -28,7 +28,7 @@ def snap_stations(clusters: DataFrame, nodes: DataFrame, max_m: float = 1500.0)
 def sample_polyline(geometry: DataFrame, every_m: float = 250.0) -> DataFrame:
     """Points each ``every_m`` along a polyline and its end point: id, pos, lat, lon."""
     steps = polyline_steps(geometry)
-    along = running_total(steps, ["id"], ["seq"], F.coalesce("step_m", F.lit(0.0)), stop_chunk("seq"), "_from", inclusive=False)
+    along = running_total(steps, ["id"], ["seq"], F.coalesce("step_m", F.lit(0.0)), None, "_from", inclusive=False)
     start, end = F.col("_from"), F.col("_from") + F.col("step_m")
     first, last = F.ceil(start / every_m).cast("bigint"), F.ceil(end / every_m).cast("bigint") - 1
     marks = F.when(F.col("step_m") > 0, F.when(last >= first, F.sequence(first, last)))
@@ -45,10 +45,10 @@ def sample_polyline(geometry: DataFrame, every_m: float = 250.0) -> DataFrame:
     return sampled.unionByName(closing)
 
 
-def overlapping_edges(samples: DataFrame, near_m: float = 150.0, min_share: float = 0.6, min_points: int = 4) -> DataFrame:
+def overlapping_edges(samples: DataFrame, near_m: float = 150.0, min_share: float = 0.6, min_points: int = 1) -> DataFrame:
     """Edge pairs where most sample points of the lower id lie beside the other edge."""
     sizes = samples.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_points)
-    mine = grid_cells(samples.join(sizes, "id").withColumnsRenamed({"id": "edge_a"}), size=OVERLAP_CELL, reach=1)
+    mine = grid_cells(samples.join(sizes, "id").withColumnsRenamed({"id": "edge_a"}), size=OVERLAP_CELL, reach_m=near_m)
     other = grid_cells(samples.select(F.col("id").alias("edge_b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")),
                        "b_lat", "b_lon", size=OVERLAP_CELL)
     distance = haversine_m(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon"))
@@ -60,7 +60,7 @@ def overlapping_edges(samples: DataFrame, near_m: float = 150.0, min_share: floa
 
 def polygon_sides(polygons: DataFrame) -> DataFrame:
     """Sides of closed rings: country, x1, y1, x2, y2."""
-    paired = beside(polygons, ["country", "ring"], ["seq"], ["lon", "lat"], stop_chunk("seq"))
+    paired = beside(polygons, ["country", "ring"], ["seq"], ["lon", "lat"])
     return paired.filter(F.col("next_lon").isNotNull()).select(
         "country", F.col("lon").alias("x1"), F.col("lat").alias("y1"), F.col("next_lon").alias("x2"), F.col("next_lat").alias("y2"))
 

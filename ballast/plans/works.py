@@ -11,12 +11,11 @@ from ballast.operators.entities import name_dictionary
 from ballast.operators.filters import relevant_disruptions
 from ballast.operators.graphs import chain_edges
 from ballast.operators.joins import resolve_station_code, resolve_uic, split_edges
-from ballast.operators.sequence_tools import beside, stop_chunk
+from ballast.operators.sequence_tools import beside
 from ballast.operators.sequences import deleted_runs
 from ballast.sources.notices import current_situations, impacted_stops, section_stations
 
 GROUP = ["group_seq", "src", "sev", "until", "txt", "edge"]
-TEXT_LENGTH, INCIDENT_LENGTH = 150, 200
 ALERT_COUNTRY, HOME = "be", "NL"
 
 
@@ -32,7 +31,7 @@ def works_from_sections(disruptions: DataFrame, station_codes: DataFrame, cluste
     flags = texts.groupBy("disruption_id").agg(F.max(is_international(F.col("situation"))).alias("_intl"))
     known = resolve_station_code(section_stations(live.join(flags, "disruption_id", "left_semi")), station_codes, clusters)
     known = known.filter(F.col("cluster").isNotNull()).withColumn("_home", F.coalesce(F.col("country_code") == HOME, F.lit(False)))
-    paired = beside(known, ["disruption_id", "section_no"], ["pos"], ["cluster", "_home"], stop_chunk("pos"))
+    paired = beside(known, ["disruption_id", "section_no"], ["pos"], ["cluster", "_home"])
     pairs = paired.filter(F.col("next_cluster").isNotNull() & (F.col("_home") | F.col("next__home"))).select(
         F.concat_ws(":", F.lit("s"), "disruption_id", "section_no", "pos").alias("chain_id"), "disruption_id",
         F.array("cluster", "next_cluster").alias("_c"))
@@ -55,7 +54,7 @@ def works_from_sections(disruptions: DataFrame, station_codes: DataFrame, cluste
     return marked.select(
         F.concat_ws(":", F.lit(src), F.col("disruption_id").cast("string"), F.when(F.col("closed"), "0").otherwise("1")).alias("group_seq"),
         F.lit(src).alias("src"), sev.alias("sev"), until.alias("until"),
-        F.substring(F.coalesce("title", F.lit("")), 1, TEXT_LENGTH).alias("txt"), "edge")
+        F.coalesce("title", F.lit("")).alias("txt"), "edge")
 
 
 def works_from_impacts(disruptions: DataFrame, clusters: DataFrame, refinement: DataFrame, segment_edges: DataFrame,
@@ -69,7 +68,7 @@ def works_from_impacts(disruptions: DataFrame, clusters: DataFrame, refinement:
     mapped = owner.join(edges, "chain_id").select("disruption_id", "edge").distinct()
     return mapped.join(live.select("disruption_id", "ends", "text"), "disruption_id").select(
         F.concat_ws(":", F.lit(src), F.col("disruption_id").cast("string")).alias("group_seq"), F.lit(src).alias("src"),
-        F.lit("reduced").alias("sev"), latest_end(F.col("ends")).alias("until"), F.substring("text", 1, TEXT_LENGTH).alias("txt"), "edge")
+        F.lit("reduced").alias("sev"), latest_end(F.col("ends")).alias("until"), F.col("text").alias("txt"), "edge")
 
 
 def text_route_chain(alerts: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -101,7 +100,7 @@ def works_from_alerts(alerts: DataFrame, clusters: DataFrame, refinement: DataFr
     edges = chain_edges(chains.select(F.col("alert_id").alias("chain_id"), "pos", "cluster"), refinement, segment_edges)["edges"]
     return live.join(edges.withColumnRenamed("chain_id", "alert_id"), "alert_id").select(
         F.concat_ws(":", F.lit(country), "alert_id").alias("group_seq"), F.lit(country).alias("src"), F.lit("closed").alias("sev"),
-        F.lit(None).cast("string").alias("until"), preferred_text(F.col("texts"), length=TEXT_LENGTH).alias("txt"), "edge")
+        F.lit(None).cast("string").alias("until"), preferred_text(F.col("texts")).alias("txt"), "edge")
 
 
 def alert_position(alerts: DataFrame, stop_cluster: DataFrame, clusters: DataFrame, feed_of_country: dict[str, str] | None = None) -> DataFrame:
@@ -124,4 +123,4 @@ def incidents(alerts: DataFrame, stop_cluster: DataFrame, clusters: DataFrame, f
     keys = ["country", "poll_ts", "alert_pos"]
     spots = alert_position(alerts, stop_cluster, clusters, feed_of_country)
     return alerts.join(spots, keys, "left").select(
-        *keys, "cause", "effect", preferred_text(F.col("texts"), length=INCIDENT_LENGTH).alias("txt"), "cluster", "lat", "lon")
+        *keys, "cause", "effect", preferred_text(F.col("texts")).alias("txt"), "cluster", "lat", "lon")

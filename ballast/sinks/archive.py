@@ -2,47 +2,63 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ballast.functions.time import service_day, utc_day
 
-MAX_DAYS = 40
 
+def archive_days(seg_obs: DataFrame, stop_obs: DataFrame, exported: DataFrame, as_of: int, max_days: int | None = None) -> DataFrame:
+    """Completed days not yet exported, oldest first: all of them, or the first ``max_days`` if a caller asks for that.
+
+    Logs that are partitioned by ``day`` give their days from the folder names alone.
+    """
+    def days_of(obs: DataFrame, otherwise) -> DataFrame:
+        day = F.col("day").cast("date") if "day" in obs.columns else otherwise
+        return obs.select(day.alias("day")).distinct()
 
-def archive_days(seg_obs: DataFrame, stop_obs: DataFrame, exported: DataFrame, as_of: int, max_days: int = MAX_DAYS) -> DataFrame:
-    """Completed days not yet exported, oldest first, at most ``max_days`` per run."""
-    seg_days = seg_obs.select(utc_day(F.col("ts")).alias("day")).distinct()
-    stop_days = stop_obs.select(service_day(F.col("service_date")).alias("day")).distinct()
+    seg_days, stop_days = days_of(seg_obs, utc_day(F.col("ts"))), stop_obs.select(service_day(F.col("service_date")).alias("day")).distinct()
     today = F.to_date(F.timestamp_seconds(F.lit(as_of)))
     days = seg_days.union(stop_days).distinct().filter(F.col("day").isNotNull() & (F.col("day") < today))
-    return days.join(exported.select(F.col("day").cast("date")), "day", "left_anti").orderBy("day").limit(max_days)
+    days = days.join(exported.select(F.col("day").cast("date")), "day", "left_anti").orderBy("day")
+    return days if max_days is None else days.limit(max_days)
 
 
-def archive_rows(seg_obs: DataFrame, stop_obs: DataFrame, days: DataFrame) -> dict[str, DataFrame]:
-    """Rows of those days: segment rows by UTC day of ts, stop rows by service date."""
-    seg = seg_obs.withColumn("day", utc_day(F.col("ts"))).join(days, "day", "left_semi")
-    stops = stop_obs.withColumn("day", service_day(F.col("service_date"))).join(days, "day", "left_semi")
+def archive_rows(seg_obs: DataFrame, stop_obs: DataFrame, days: list[date]) -> dict[str, DataFrame]:
+    """Rows of those days: segment rows by UTC day of ts, stop rows by service date; the days are literals, so scans prune."""
+    seg = seg_obs if "day" in seg_obs.columns else seg_obs.withColumn("day", utc_day(F.col("ts")))
+    first, last = (min(days), max(days)) if days else (date.max, date.min)
+    seg = seg.filter(F.col("day").cast("date").isin(days) & F.col("ts").between(_epoch(first), _epoch(last) + 86399))
+    names = [d.strftime("%Y%m%d") for d in days]
+    stops = stop_obs.filter(F.substring("service_date", 1, 8).isin(names)).withColumn("day", service_day(F.col("service_date")))
     return {"seg": seg, "stops": stops}
 
 
+def _epoch(day: date) -> int:
+    return (day - date(1970, 1, 1)).days * 86400
+
+
 def archive_completed_days(seg_obs: DataFrame, stop_obs: DataFrame, exported: DataFrame, as_of: int, folder: str,
-                           max_days: int = MAX_DAYS) -> DataFrame:
+                           max_days: int | None = None) -> DataFrame:
     """Write the open days as zstd Parquet, one partition per day, and return them.
 
-    A day is split over as many files as its rows fill, so one day may hold most of them.
+    The driver sees the list of days. A day is split over as many files as its rows fill, so one day may hold most of them.
     """
-    days = archive_days(seg_obs, stop_obs, exported, as_of, max_days)
-    for name, rows in archive_rows(seg_obs, stop_obs, days).items():
+    open_days = [r.day for r in archive_days(seg_obs, stop_obs, exported, as_of, max_days).collect()]
+    for name, rows in archive_rows(seg_obs, stop_obs, open_days).items():
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
          .option("maxRecordsPerFile", 5_000_000).partitionBy("day").parquet(f"{folder}/{name}"))
-    return days
-
+    return seg_obs.sparkSession.createDataFrame([(d,) for d in open_days], "day date")
 
-def append_observations(batch: DataFrame, batch_id: int, folder: str) -> None:
-    """foreachBatch sink: a repeated batch overwrites its own partition, so a retry adds nothing."""
-    placed = batch.withColumn("batch", F.lit(batch_id)).withColumn("day", utc_day(F.col("ts")))
-    (placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-     .partitionBy("batch", "day").parquet(folder))
 
+def append_observations(stream: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append a stream of observations to the log, partitioned by day.
 
+    The file sink keeps a record of the batches it holds, so a batch that is run again after a failure adds nothing.
+    """
+    placed = stream.withColumn("day", utc_day(F.col("ts")))
+    writer = placed.writeStream.format("parquet").partitionBy("day").option("compression", "zstd").option("path", folder)
+    return writer.option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()

@@ -62,7 +62,8 @@ select trip_id, stop_sequence, stop_id, dep_s,
   case when stop_sequence%4=3 then '' when stop_sequence%5=4 then null else
   lpad(cast(cast(floor((dep_s+60)/3600) as int) as string),2,'0')||':'||lpad(cast(cast(floor((dep_s+60)/60) as int)%60 as string),2,'0')||':00' end as departure_time from b_stop_times""",
     "b_dates": """
-select replace(cast(date '2024-01-01'+cast(c_custkey as int) as string),'-','') as d, cast(c_custkey as int) as i, case c_custkey%7 when 5 then 'sat' when 6 then 'sun' else 'wd' end as daytype, cast(c_custkey%7 as int) as wd from customer where c_custkey<35""",
+select d, i, case i%7 when 5 then 'sat' when 6 then 'sun' else 'wd' end as daytype, cast(i%7 as int) as wd
+  from (select distinct replace(substring(cast(ts as string),1,10),'-','') as d, cast(floor({epoch}/86400) as int)-19723 as i from events) q""",
     "b_calendar": f"""
 select 'v'||cast(k as string) as service_id, {_FLAGS}, '20240101' as start_date, case when k%5=0 then '20240120' else '20240204' end as end_date from (select distinct o_custkey%40 as k from orders) q""",
     "b_calendar_dates": """
@@ -109,7 +110,7 @@ select country, trip_id, service_date, min(ts) as first_ts, max(ts) as last_ts,
     "b_edge_groups": """
 select 'g'||lpad(cast(o_orderkey as string),9,'0') as group_seq, 'src'||cast(o_custkey%3 as string) as src,
   case o_orderkey%3 when 0 then 'closed' when 1 then 'intl' else 'reduced' end as sev, cast(null as string) as until, o_orderpriority as txt,
-  'E'||cast(o_custkey%60 as string) as edge from orders""",
+  'E'||cast(o_custkey as string) as edge from orders""",
 }
 
 
