@@ -131,3 +131,58 @@ def test_nearest_span(spark):
     met = J.attribute_passages(spark.createDataFrame([("c", t, ts) for t, ts in [("t", 150), ("t", 340), ("t", 350), ("t", 550), ("u", 1)]],
                                                      "country string, trip_id string, ts long"), trains)
     assert rows(met, "ts", "row_id") == [(150, "R1"), (340, "R1"), (350, "R1"), (550, "R2")]
+
+
+def test_no_row_is_lost_at_the_edges(spark, tmp_path):
+    """A week's window, a node at 52 degrees north, a short edge, a backlog of 45 days, a chain of 40 links."""
+    import datetime
+
+    from ballast.operators import aggregates, graphs, spatial
+    from ballast.sinks.archive import archive_completed_days
+
+    as_of = 1705000000
+    obs = spark.createDataFrame([("nl", "t", "20240105", "c", as_of - 6 * 86400, 1, 5)], "country string, trip_id string, service_date string, cluster string, ts long, seq long, delay_s int")
+    assert aggregates.train_stats(obs, as_of, 7 * 86400).count() == 1
+    station = spark.createDataFrame([("c", 52.0, 5.0)], "cluster_id string, lat double, lon double")
+    node = spark.createDataFrame([(1, 52.0, 5.021)], "node_id long, lat double, lon double")
+    assert [round(r.dist_m) for r in spatial.snap_stations(station, node, 1500.0).collect()] == [1438]
+    samples = spark.createDataFrame([("a", 0, 52.0, 5.0), ("b", 0, 52.0, 5.001)], "id string, pos long, lat double, lon double")
+    assert spatial.overlapping_edges(samples).count() == 1
+    days = [datetime.date(2024, 1, 1) + datetime.timedelta(i) for i in range(45)]
+    seg = spark.createDataFrame([(int(datetime.datetime.combine(d, datetime.time(12), datetime.UTC).timestamp()), "s") for d in days], "ts long, segment string")
+    stops = spark.createDataFrame([(d.strftime("%Y%m%d"),) for d in days], "service_date string")
+    none = spark.createDataFrame([], "day date")
+    done = archive_completed_days(seg, stops, none, 1712000000, str(tmp_path))
+    assert done.count() == 45 and spark.read.parquet(f"{tmp_path}/seg").select("day").distinct().count() == 45
+    assert archive_completed_days(seg, stops, done, 1712000000, str(tmp_path / "again")).count() == 0
+    links = [(f"c{i:02}", f"c{i + 1:02}") for i in range(40)]
+    graph = spark.createDataFrame(links + [(b, a) for a, b in links], "u string, v string")
+    assert graphs.bfs_paths(spark.createDataFrame([("p", "c00", "c40")], "pair_id string, a string, b string"), graph).count() == 40
+
+
+def test_stream_state_is_carried_over(spark, tmp_path):
+    """A first run that knows the log repeats nothing of it."""
+    from ballast.streaming.changes import drained, stream_seg_changes
+
+    schema = "seq long, ts long, country string, segment string, trip_id string, delta_s int"
+    spark.createDataFrame([(1, 10, "nl", "s", "t", 5), (2, 20, "nl", "s", "t", 5), (3, 30, "nl", "s", "t", 6), (4, 30, "nl", "s", "u", 1)], schema).write.parquet(f"{tmp_path}/in")
+    known = spark.createDataFrame([("nl", "t", "s", 5)], "country string, trip_id string, segment string, delta_s int")
+
+    def landed():
+        return spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+
+    assert sorted(r.seq for r in drained(stream_seg_changes(landed(), None)).collect()) == [1, 3, 4]
+    assert sorted(r.seq for r in drained(stream_seg_changes(landed(), None, known)).collect()) == [3, 4]
+
+
+def test_blockades_come_and_go(spark, tmp_path):
+    from ballast.streaming.changes import drained, stream_blockades
+
+    rows = [("s", "a", 100, "cancel"), ("s", "b", 200, "cancel"), ("s", "", 300, "passage"), ("s", "c", 400, "cancel"), ("s", "d", 400 + 5401, "cancel")]
+    spark.createDataFrame(rows, "segment string, trip_id string, ts long, kind string").write.parquet(f"{tmp_path}/in")
+
+    def landed(kind):
+        return spark.readStream.schema("segment string, trip_id string, ts long, kind string").parquet(f"{tmp_path}/in").filter(f"kind='{kind}'")
+
+    got = drained(stream_blockades(landed("cancel"), landed("passage"))).orderBy("ts").collect()
+    assert [(r.ts, r.blocked) for r in got] == [(200, True), (300, False)]
