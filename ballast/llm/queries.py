@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ballast.llm import oracles
 from ballast.llm.common import table
 from ballast.llm.fingerprints import fingerprints
 from ballast.llm.html_text import extract
@@ -59,4 +60,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_phrase_dedup, op3_html_extraction, op4_minhash_dedup, op5_vector_packing, op6_fingerprints, op7_token_counts, op8_lattice_dedup, op9_toxicity, op10_suffix_dedup)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_phrase_dedup": oracles.PHRASES, "op4_minhash_dedup": oracles.NEAR, "op8_lattice_dedup": oracles.VECTORS, "op10_suffix_dedup": oracles.BYTES}
