@@ -129,6 +129,10 @@ SPELLINGS = (
 )
 
 
+def _respelled(names: Column, pattern: str, out: str) -> Column:
+    return F.transform(F.filter(names, lambda v: v.rlike(pattern)), lambda v: F.regexp_replace(v, pattern, out))
+
+
 def name_variants(name: Column, lat: Column, lon: Column) -> Column:
     """Railway-style spellings of a timetable station name, most literal first (array<string>).
 
@@ -146,8 +150,7 @@ def name_variants(name: Column, lat: Column, lon: Column) -> Column:
     alone = F.when(line.isNotNull() | tail.isNotNull(), place)
     found = F.filter(F.array(name, alone, *joined), lambda v: v.isNotNull())
     for pattern, out in SPELLINGS:
-        more = F.transform(F.filter(found, lambda v, p=pattern: v.rlike(p)), lambda v, p=pattern, o=out: F.regexp_replace(v, p, o))
-        found = F.array_union(found, more)
+        found = F.array_union(found, _respelled(found, pattern, out))
     tidy = F.transform(found, lambda v: F.trim(F.regexp_replace(v, r"\s+", " ")))
     return F.array_distinct(F.filter(tidy, lambda v: v != ""))
 

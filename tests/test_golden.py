@@ -186,3 +186,15 @@ def test_blockades_come_and_go(spark, tmp_path):
 
     got = drained(stream_blockades(landed("cancel"), landed("passage"))).orderBy("ts").collect()
     assert [(r.ts, r.blocked) for r in got] == [(200, True), (300, False)]
+
+
+def test_name_variants(spark):
+    from ballast.functions.text import name_variants
+
+    names = [("S+U Alexanderplatz Bhf (Berlin)", 52.52, 13.41), ("D-Benrath S", 51.16, 6.87), ("Köln, Hauptbahnhof", 50.94, 6.96), ("Ostbahnhof", 48.12, 11.60), ("Poststr. (Bus)", 0.0, 0.0), ("Plain", 0.0, 0.0)]
+    got = {r.name: r.v for r in spark.createDataFrame(names, "name string, lat double, lon double").select("name", name_variants(F.col("name"), F.col("lat"), F.col("lon")).alias("v")).collect()}
+    assert all(v[0] == name for name, v in got.items()) and got["Plain"] == ["Plain"]
+    assert {"Berlin Alexanderplatz", "Alexanderplatz"} <= set(got[names[0][0]]) and "Düsseldorf-Benrath" in got["D-Benrath S"]
+    assert {"Hauptbahnhof", "Köln Hauptbahnhof", "Köln Hbf", "Köln-Hbf", "Hbf"} <= set(got["Köln, Hauptbahnhof"])
+    assert {"München Ostbahnhof", "München Ost", "München-Ost", "Ost"} <= set(got["Ostbahnhof"])
+    assert {"Poststraße (Bus)", "Poststraße", "Poststr."} <= set(got["Poststr. (Bus)"])
