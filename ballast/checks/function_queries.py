@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ballast.checks.filter_queries import REPAIRED
-from ballast.checks.join_queries import metadata_tables
+from ballast.checks.join_queries import META, metadata_tables
 from ballast.functions import geo as G
 from ballast.functions import text as X
 from ballast.functions import time as T
@@ -83,7 +83,18 @@ def _(t):
     return E.cluster_by_uic(P.repair_null_island(P.stations(t.stops)))
 
 
-@query("ent_03_attach_groups")
+NAME_KEY = r"trim(regexp_replace(regexp_replace(lower({0}), '\b(hbf|station)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+METRES = "2*6371000.0*asin(sqrt(pow(sin(radians({2}-{0})/2),2)+cos(radians({0}))*cos(radians({2}))*pow(sin(radians({3}-{1})/2),2)))"
+
+
+@query("ent_03_attach_groups", REPAIRED + f""", uic as (select 'uic:'||substring(stop_code,1,7) cid, {NAME_KEY.format('arg_min(stop_name, station_id)')} key, arg_min_null(lat, station_id) y, arg_min_null(lon, station_id) x
+   from repaired where stop_code is not null group by 1),
+ open_ as (select station_id, feed, stop_name, lat, lon, {NAME_KEY.format('stop_name')} key, floor(lat*100+0.5) cy, floor(lon*100+0.5) cx from repaired where stop_code is null and lat is not null),
+ head as (select cy, cx, key, min(station_id) sid, arg_min(lat, station_id) y, arg_min(lon, station_id) x from open_ group by 1,2,3),
+ reach as (select h.*, u.cid, u.y uy, u.x ux, {METRES.format('h.y', 'h.x', 'u.y', 'u.x')} m from head h join uic u on u.key=h.key),
+ best as (select * from reach where m<=300 qualify row_number() over (partition by cy, cx, key order by m, cid)=1)
+ select o.station_id, o.feed, o.stop_name, o.lat, o.lon, case when b.cid is null then 'nm:'||h.sid when {METRES.format('o.lat', 'o.lon', 'b.uy', 'b.ux')}>300 then 'nm:'||o.station_id else b.cid end cluster_id
+ from open_ o join head h using (cy, cx, key) left join best b on b.cy=o.cy and b.cx=o.cx and b.key=o.key""")
 def _(t):
     stations = P.repair_null_island(P.stations(t.stops))
     return E.attach_groups(E.name_cell_groups(stations), E.cluster_by_uic(stations))
@@ -113,7 +124,22 @@ def _(t):
     return R.refinement_paths(t.segments, t.clusters)
 
 
-@query("job_04_train_table")
+TRAIN_ROWS = f"""with {META}, rec as (select * from b_stop_obs where ts>={AS_OF}-{WEEK}),
+ latest as (select * from rec qualify row_number() over (partition by country, trip_id, service_date, cluster order by ts desc, seq desc)=1),
+ ends as (select country, trip_id, service_date, first(cluster order by ts, seq) fc, last(cluster order by ts, seq) lc, last(delay_s order by ts, seq) delay_s, max(ts) seen from latest group by 1,2,3),
+ runs as (select country, trip_id, service_date, min(ts) since, count(*) n from rec group by 1,2,3),
+ off as (select country, trip_id, service_date, min(ts) since, max(ts) seen from b_cancels where ts>={AS_OF}-{WEEK} group by 1,2,3),
+ k as (select country, trip_id, service_date from runs union select country, trip_id, service_date from off),
+ path as (select trip_id, first(name order by pos) o, last(name order by pos) d, first(dep order by pos) dep, last(arr order by pos) arr from ms group by 1)
+select k.country||'|'||k.trip_id||'|'||k.service_date row_id, k.country, k.trip_id, k.service_date, coalesce(hd.train_number, k.trip_id) train_number, hd.route,
+ case when path.trip_id is null then coalesce(cf.name, fc) else path.o end origin, case when path.trip_id is null then coalesce(cl.name, lc) else path.d end destination,
+ path.dep sched_dep, path.arr sched_arr, ends.delay_s, coalesce(cl.name, lc) last_stop, least(runs.since, off.since) first_ts, greatest(ends.seen, off.seen) last_ts,
+ coalesce(runs.n, 0) n_obs, path.trip_id is not null sched_known, off.trip_id is not null cancelled
+from k left join runs using (country, trip_id, service_date) left join ends using (country, trip_id, service_date) left join off using (country, trip_id, service_date)
+ left join hd on hd.trip_id=k.trip_id left join path on path.trip_id=hd.trip_id left join b_clusters cf on cf.cluster_id=fc left join b_clusters cl on cl.cluster_id=lc"""
+
+
+@query("job_04_train_table", TRAIN_ROWS)
 def _(t):
     tables = metadata_tables(t)
     keys = t.stop_obs.select("trip_id").union(t.cancels.select("trip_id"))
