@@ -18,7 +18,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 18
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held by Spark and by Python at once.
+BATCH_ROWS = "1024"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -31,7 +31,7 @@ UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ľ]+|[0-9]|[^a-zß-öø-
 _SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SHOWN = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SEEN)))}
 #: Distinct words whose ids a task remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 @dataclass(frozen=True)
