@@ -1,8 +1,9 @@
 """HTML extraction by tag-path ratios.
 
 Text length and punctuation are added up per root-to-leaf tag path, divided by the path's nodes, smoothed over the paths in
-page order, fused to one score and cut at a threshold. The nodes above it show where the article is; its other blocks,
-short ones too, are taken from there.
+page order, fused to one score and cut at a threshold. The nodes above it only show where the article is: all blocks of the
+article or main element around them are taken, short ones too. Without such an element their common ancestor is taken, and
+what stands next to it and belongs to it (see reach).
 """
 
 from __future__ import annotations
@@ -35,14 +36,18 @@ PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(.*)>$", re.S)
 PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？]")
 MAIN = frozenset(("article", "main"))
+#: Elements that hold text of an article, not parts of a layout.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 hgroup p ul ol dl table blockquote pre figure".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "boiler", "depth")
+    """An element; ``boiler`` if it or one above is boilerplate."""
+
+    __slots__ = ("tag", "parent", "boiler")
 
     def __init__(self, tag: str, parent: Node | None, boiler: bool):
         self.tag, self.parent, self.boiler = tag, parent, boiler or (parent is not None and parent.boiler)
-        self.depth = parent.depth + 1 if parent else 0
 
     def path(self) -> str:
         names, node = [], self
@@ -135,44 +140,128 @@ def path_scores(blocks: list[tuple[str, int, int]], spread: float = 1.0) -> dict
     return scores
 
 
+class Block:
+    """Text between block borders: the block element it stands in, the elements above that (``above``), and its links' length."""
+
+    __slots__ = ("node", "text", "linked", "home", "above")
+
+    def __init__(self, node: Node, text: str, linked: int, known: dict[Node, list[Node]]):
+        self.node, self.text, self.linked, self.home = node, text, linked, node
+        while self.home.parent and self.home.tag in INLINE:
+            self.home = self.home.parent
+        if self.home not in known:
+            known[self.home] = lineage(self.home)
+        self.above = known[self.home]
+
+    @property
+    def main(self) -> Node | None:
+        """The outermost article or main element around it."""
+        return next((n for n in reversed(self.above) if n.tag in MAIN), None)
+
+
+def blocks_of(pieces: list[tuple[Node, str, bool]]) -> tuple[list[Block], set[int]]:
+    """The blocks that are not boilerplate, and the numbers of those that boilerplate text stands before."""
+    runs: list[tuple[Node | None, list[tuple[Node, str]]]] = []
+    for node, raw, broken in pieces:
+        if node.boiler:
+            if broken or not runs:
+                runs.append((None, [(node, raw)]))
+            continue
+        if broken or not runs or runs[-1][0] is None:
+            runs.append((node, [(node, raw)]))
+        else:
+            runs[-1][1].append((node, raw))
+    blocks, after, known = [], set(), {}
+    for first, parts in runs:
+        text = " ".join(html.unescape("".join(raw for _, raw in parts)).split())
+        if text and first is None:
+            after.add(len(blocks))
+        elif text:
+            linked = sum(len(" ".join(raw.split())) for node, raw in parts if any(n.tag == "a" for n in lineage(node)))
+            blocks.append(Block(first, text, linked, known))
+    return blocks, after
+
+
+def values(blocks: list[Block]) -> list[float]:
+    """The score of each block's path. An article element is the page's own word for where its text is: paths outside it have none."""
+    scores = path_scores([("/".join(n.tag for n in reversed(b.above)), len(b.text), len(PUNCTUATION.findall(b.text))) for b in blocks])
+    mains = [b.main is not None for b in blocks]
+    return [scores["/".join(n.tag for n in reversed(b.above))] if inside or not any(mains) else 0.0 for b, inside in zip(blocks, mains, strict=True)]
+
+
+def reach(blocks: list[Block], after: set[int], region: Node) -> list[Block]:
+    """The blocks of a region without an article element, and those around it that belong to the same text.
+
+    From the region outwards, the children of each ancestor are taken on both sides as far as no boilerplate, no list of
+    links and no part of the layout comes between: text elements as they are, a layout element before the region if it
+    holds the title or the title stands farther out, one behind it if it holds text elements without a heading.
+    """
+    held = [i for i, b in enumerate(blocks) if region in b.above]
+    low, high = held[0], held[-1] + 1
+    title = next((i for i in range(low - 1, -1, -1) if any(n.tag == "h1" for n in blocks[i].above)), None)
+    has_title = any(n.tag == "h1" for i in held for n in blocks[i].above)
+    top = region
+    open_low, open_high = True, True
+
+    def parts(at: int, step: int) -> tuple[Node, list[Block]]:
+        """The child of the ancestor that a block stands in, and its blocks from there on."""
+        block = blocks[at]
+        child = block.above[block.above.index(top) - 1] if block.above[0] is not top else top
+        out = []
+        while 0 <= at < len(blocks) and top in blocks[at].above and (child in blocks[at].above if child is not top else blocks[at].above[0] is top):
+            out.append(blocks[at])
+            at += step
+        return child, out
+
+    def plain(found: list[Block]) -> bool:
+        return 2 * sum(b.linked for b in found) <= sum(len(b.text) for b in found)
+
+    while top.parent and (open_low or open_high):
+        top = top.parent
+        outer = top.tag in ("body", "html", "")
+        while open_low and low and top in blocks[low - 1].above:
+            child, found = parts(low - 1, -1)
+            from_ = low - len(found)
+            titled = title is not None and not has_title and title < low and title >= (from_ if outer else 0)
+            if any(i in after for i in range(from_ + 1, low + 1)) or not plain(found) or not (child.tag in TEXTUAL or titled):
+                open_low = False
+            else:
+                low = from_
+        while open_high and high < len(blocks) and top in blocks[high].above:
+            child, found = parts(high, 1)
+            loose = any(n.tag in HEADINGS for b in found for n in b.above) or not all(any(n.tag in TEXTUAL for n in b.above) for b in found)
+            if any(i in after for i in range(high, high + len(found))) or not plain(found) or not (child.tag in TEXTUAL or not (outer or loose)):
+                open_high = False
+            else:
+                high += len(found)
+    return blocks[low:high]
+
+
 def main_text(page: str | None, share: float = 0.4) -> str:
     """The article of a page: blocks in page order, white space as one space. Null, empty or textless pages give ""."""
     if not page:
         return ""
-    runs: list[tuple[Node, list[str]]] = []
-    for node, raw, broken in text_nodes(page):
-        if node.boiler:
-            if runs and broken:
-                runs.append((node, []))
-            continue
-        if broken or not runs or runs[-1][0].boiler:
-            runs.append((node, [raw]))
-        else:
-            runs[-1][1].append(raw)
-    blocks = [(node, text) for node, raws in runs if not node.boiler and (text := " ".join(html.unescape("".join(raws)).split()))]
+    pieces = list(text_nodes(page))
+    blocks, after = blocks_of(pieces)
     if not blocks:
         return ""
-    home = {}
-
-    def outer(node: Node) -> Node:
-        while node.parent and node.tag in INLINE:
-            node = node.parent
-        return node
-
-    for node, _ in blocks:
-        home.setdefault(id(node), (outer(node), outer(node).path()))
-    mains = [any(n.tag in MAIN for n in lineage(home[id(node)][0])) for node, _ in blocks]
-    scores = path_scores([(home[id(node)][1], len(text), len(PUNCTUATION.findall(text))) for node, text in blocks])
-    # An article element is the page's own word for where its text is: paths outside it lose their score.
-    value = [scores[home[id(node)][1]] if inside or not any(mains) else 0.0 for (node, _), inside in zip(blocks, mains, strict=True)]
+    value = values(blocks)
     limit = share * max(value)
-    chosen = [home[id(node)][0] for (node, _), v in zip(blocks, value, strict=True) if v >= limit and v > 0]
+    chosen = [b.home for b, v in zip(blocks, value, strict=True) if v >= limit and v > 0]
     region = chosen[0].parent or chosen[0]
     for node in chosen:
-        above = set(map(id, lineage(node)))
-        while id(region) not in above:
+        above = set(lineage(node))
+        while region not in above:
             region = region.parent
-    return " ".join(text for node, text in blocks if region in lineage(node))
+    mains = [n for n in lineage(region) if n.tag in MAIN]
+    if mains:
+        # The nearest such element, or one around it that holds no other.
+        region = mains[0]
+        for wider in mains[1:]:
+            if all(region in b.above or not any(n.tag in MAIN for n in b.above[: b.above.index(wider)]) for b in blocks if wider in b.above):
+                region = wider
+    taken = [b for b in blocks if region in b.above] if mains or any(b.main for b in blocks) else reach(blocks, after, region)
+    return " ".join(b.text for b in taken)
 
 
 def lineage(node: Node) -> list[Node]:

@@ -96,6 +96,26 @@ def test_main_text():
     assert main_text("<article><p>Cut &am") == "Cut &am" and main_text("<article><p>Cut &amp x <foo") == "Cut & x"
 
 
+TITLE = "A title of about forty characters, here!"
+
+
+def paragraphs(n):
+    texts = ["".join(f"Clause {i} {j} which is forty characters long, " for j in range(9)) + "end." for i in range(n)]
+    return "".join(f"<p>{x}</p>" for x in texts), " ".join(texts)
+
+
+@pytest.mark.parametrize("n", [1, 3, 30, 100])
+def test_main_text_around_the_body(n):
+    body, text = paragraphs(n)
+    inner = f"<h1>{TITLE}</h1><p>Lead, short.</p><div>{body}</div><ul><li>Item one, short<li>Item two, here<li>Item three.</ul><table><tr><td>Cell a<td>Cell b</table>"
+    want = f"{TITLE} Lead, short. {text} Item one, short Item two, here Item three. Cell a Cell b"
+    for start, end in (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ("<div><div>", "</div></div>"), ("", "")):
+        assert main_text(f"<body><nav>n</nav>{start}{inner}{end}<footer>f</footer></body>") == want
+    assert main_text(f"<main><h1>{TITLE}</h1><article><div>{body}</div></article></main>") == f"{TITLE} {text}"
+    assert main_text(f"<div>Site, name</div><div><h1>{TITLE}</h1><div>{body}</div></div><div>(c) Site</div>") == f"{TITLE} {text}"
+    assert main_text(f"<body><ul><li><a>Home</a><li><a>News</a></ul><h1>{TITLE}</h1><div>{body}</div><ul><li><a>Home</a></ul></body>") == f"{TITLE} {text}"
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "y"), (2, "v", "<p>" + "long text, " * 30_000, "z")], "page_id long, url string, html string, text string")
     rows = extract(pages).collect()
