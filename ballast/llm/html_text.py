@@ -3,7 +3,8 @@
 Text length and punctuation are added up per root-to-leaf tag path, divided by the path's nodes, smoothed over the paths in
 page order, fused to one score and cut at a threshold. The nodes above it only show where the article is: all blocks of the
 article or main element around them are taken, short ones too. Without such an element their common ancestor is taken, and
-what stands next to it and belongs to it (see reach).
+what stands next to it and belongs to it (see reach). A class or id that names boilerplate removes an element unless the
+article is inside it (see release).
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 
 #: Element names and name parts, as HTML defines them or pages use them: fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas textarea title select".split())
-ASIDE = frozenset("nav header footer aside form menu button dialog figcaption head".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template iframe svg object canvas textarea title select annotation annotation-xml".split())
+ASIDE = frozenset("nav header footer aside form menu button dialog head".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
@@ -34,6 +35,8 @@ BOILER = re.compile(
 )
 PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<?[^<]*", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(.*)>$", re.S)
+#: Class and id words that say what an element has, not what it is.
+HAS = re.compile(r"\S*?(?<![^\s_-])(?:has|with|without|no)[_-]\S*", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？]")
 MAIN = frozenset(("article", "main"))
 #: Elements that hold text of an article, not parts of a layout.
@@ -42,12 +45,13 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    """An element; ``boiler`` if it or one above is boilerplate."""
+    """An element; ``boiler`` if it or one above is boilerplate for certain, ``named`` the nearest that is so by its name only."""
 
-    __slots__ = ("tag", "parent", "boiler")
+    __slots__ = ("tag", "parent", "boiler", "named")
 
-    def __init__(self, tag: str, parent: Node | None, boiler: bool):
+    def __init__(self, tag: str, parent: Node | None, boiler: bool, named: bool = False):
         self.tag, self.parent, self.boiler = tag, parent, boiler or (parent is not None and parent.boiler)
+        self.named = self if named else parent.named if parent else None
 
     def path(self) -> str:
         names, node = [], self
@@ -62,9 +66,14 @@ def is_boiler(tag: str, attributes: str) -> bool:
         return True
     if not attributes or tag in MAIN or tag in ("body", "html"):
         return bool(attributes and HIDDEN.search(attributes))
-    if ROLES.search(attributes) or HIDDEN.search(attributes):
-        return True
-    return any(BOILER.search(x or y or z) for x, y, z in NAMED.findall(attributes))
+    return bool(ROLES.search(attributes) or HIDDEN.search(attributes))
+
+
+def is_named(tag: str, attributes: str) -> bool:
+    """Whether a class or an id names boilerplate."""
+    if not attributes or tag in MAIN or tag in ("body", "html"):
+        return False
+    return any(BOILER.search(HAS.sub(" ", x or y or z)) for x, y, z in NAMED.findall(attributes))
 
 
 def text_nodes(page: str) -> Iterator[tuple[Node, str, bool]]:
@@ -112,7 +121,7 @@ def text_nodes(page: str) -> Iterator[tuple[Node, str, bool]]:
                 node = found.parent
         if name in VOID or attributes.endswith("/"):
             continue
-        node = Node(name, node, is_boiler(name, attributes))
+        node = Node(name, node, is_boiler(name, attributes), is_named(name, attributes))
 
 
 def path_scores(blocks: list[tuple[str, int, int]], spread: float = 1.0) -> dict[str, float]:
@@ -159,11 +168,11 @@ class Block:
         return next((n for n in reversed(self.above) if n.tag in MAIN), None)
 
 
-def blocks_of(pieces: list[tuple[Node, str, bool]]) -> tuple[list[Block], set[int]]:
+def blocks_of(pieces: list[tuple[Node, str, bool]], released: set[Node]) -> tuple[list[Block], set[int]]:
     """The blocks that are not boilerplate, and the numbers of those that boilerplate text stands before."""
     runs: list[tuple[Node | None, list[tuple[Node, str]]]] = []
     for node, raw, broken in pieces:
-        if node.boiler:
+        if dropped(node, released):
             if broken or not runs:
                 runs.append((None, [(node, raw)]))
             continue
@@ -182,6 +191,15 @@ def blocks_of(pieces: list[tuple[Node, str, bool]]) -> tuple[list[Block], set[in
     return blocks, after
 
 
+def dropped(node: Node, released: set[Node]) -> bool:
+    if node.boiler:
+        return True
+    named = node.named
+    while named and named in released:
+        named = named.parent.named
+    return named is not None
+
+
 def values(blocks: list[Block]) -> list[float]:
     """The score of each block's path. An article element is the page's own word for where its text is: paths outside it have none."""
     scores = path_scores([("/".join(n.tag for n in reversed(b.above)), len(b.text), len(PUNCTUATION.findall(b.text))) for b in blocks])
@@ -189,6 +207,43 @@ def values(blocks: list[Block]) -> list[float]:
     return [scores["/".join(n.tag for n in reversed(b.above))] if inside or not any(mains) else 0.0 for b, inside in zip(blocks, mains, strict=True)]
 
 
+def release(pieces: list[tuple[Node, str, bool]], share: float) -> set[Node]:
+    """Elements with a name of boilerplate that hold the article: what is outside of them scores below the threshold.
+
+    An element with the page's only article or main inside needs to come to the threshold itself. They are looked for from
+    outside in, the best first, so that comments beside a released article stay out.
+    """
+    released: set[Node] = set()
+    everything = {n for node, _, _ in pieces if not node.boiler for n in (node.named,) if n}
+    if not everything:
+        return released
+    for node in list(everything):
+        while node := node.parent.named:
+            everything.add(node)
+    blocks = blocks_of(pieces, everything)[0]
+    inside: dict[Node, list[Block]] = {}
+    for block in blocks:
+        for node in lineage(block.node):
+            if node in everything:
+                inside.setdefault(node, []).append(block)
+    best = {node: max(values(held)) for node, held in inside.items()}
+    sole = {node: len({b.main for b in held} - {None}) == 1 and not any(n.tag in MAIN for n in lineage(node)) for node, held in inside.items()}
+    while True:
+        free = [b for b in blocks if not dropped(b.node, released)]
+        marked = any(b.main for b in free)
+        limit = max(values(free), default=0.0)
+        fit = []
+        for node, held in inside.items():
+            if node in released or dropped(node.parent, released):
+                continue
+            value = best[node] if not marked or any(b.main for b in held) else 0.0
+            if share * value > limit or (sole[node] and not marked and value >= share * limit):
+                fit.append((sole[node] and not marked, value, node))
+        if not fit:
+            return released
+        released.add(max(fit, key=lambda x: x[:2])[2])
+
+
 def reach(blocks: list[Block], after: set[int], region: Node) -> list[Block]:
     """The blocks of a region without an article element, and those around it that belong to the same text.
 
@@ -242,7 +297,7 @@ def main_text(page: str | None, share: float = 0.4) -> str:
     if not page:
         return ""
     pieces = list(text_nodes(page))
-    blocks, after = blocks_of(pieces)
+    blocks, after = blocks_of(pieces, release(pieces, share))
     if not blocks:
         return ""
     value = values(blocks)

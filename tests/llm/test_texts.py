@@ -116,6 +116,28 @@ def test_main_text_around_the_body(n):
     assert main_text(f"<body><ul><li><a>Home</a><li><a>News</a></ul><h1>{TITLE}</h1><div>{body}</div><ul><li><a>Home</a></ul></body>") == f"{TITLE} {text}"
 
 
+@pytest.mark.parametrize("n", [1, 3, 30])
+def test_main_text_below_names_of_boilerplate(n):
+    body, text = paragraphs(n)
+    want = f"{TITLE} {text}"
+    comments = "<p>A reader who wrote a long comment, with many marks, and even more of them, to be long enough.</p>" * 60
+    for name in ('class="layout has-sidebar"', 'id="page-header-fixed"', 'class="with-comments"'):
+        for start, end in (("<article>", "</article>"), ("", "")):
+            page = f"<body><p>Tag line.</p><div {name}>{start}<h1>{TITLE}</h1><div>{body}</div>{end}<div class=sidebar>Side, text.</div></div></body>"
+            assert main_text(page if start else page.replace("<p>Tag line.</p>", "")) == want
+        assert main_text(f"<article><h1>{TITLE}</h1><div {name}>{body}</div></article>") == want
+    assert main_text(f"<div><h1>{TITLE}</h1>{body}</div><div class=comments>{comments}</div>") == want
+    assert main_text(f"<article><h1>{TITLE}</h1>{body}<section class=comments><article>{comments}</article></section></article>") == want
+    assert main_text(f"<div id=page-header-fixed><article><h1>{TITLE}</h1>{body}</article><div class=comments>{comments}</div></div>") == want
+    assert main_text(f"<div><h1>{TITLE}</h1>{body}</div><div class=related><article><p>Teaser, one.</p></article></div>") == want
+
+
+def test_main_text_keeps_captions_and_formulas():
+    body, text = paragraphs(3)
+    page = f"<article>{body}<figure><img><figcaption>Figure one.</figcaption></figure><p>Since <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> holds.</p></article>"
+    assert main_text(page) == f"{text} Figure one. Since x=1 holds."
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "y"), (2, "v", "<p>" + "long text, " * 30_000, "z")], "page_id long, url string, html string, text string")
     rows = extract(pages).collect()
