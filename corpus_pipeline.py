@@ -28,9 +28,30 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group that links of 0.8 on five-word shingles hold together."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each group that links of 0.8 on five-word shingles hold together: that of the least id, null ids last.
+
+    Rows are told apart by a number of their own, so rows that repeat, share an id or have none are copies like others. Of
+    equal ids the least hash of text and other columns stays. A null or empty text links with nothing and stays.
+    """
+    names = free_names(docs, "_row", "_hash")
+    row, mark = (F.col(c) for c in names)
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    # Written once: the numbers must not change between readings.
+    rows = stored(docs.withColumns({names[0]: F.monotonically_increasing_id(), names[1]: F.xxhash64("text", *hashed)}))
+    near = near_duplicates(rows.select(row.alias("doc_id"), "text"))
+    extra = stored(near.filter("not kept").select(F.col("doc_id").alias("r"), F.col("component_id").alias("c")))
+    members = extra.union(extra.select("c", "c").distinct())
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), mark.alias("hash"), row.alias("row"))
+    known = members.join(rows.select(row.alias("r"), rank.alias("rank")), "r")
+    first = known.groupBy("c").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("r"))
+    gone = members.join(first, "r", "left_anti").select(F.col("r").alias(names[0]))
+    return rows.join(gone, names[0], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of the table has them."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (name + "_" * i for i in range(len(taken) + 1)) if n not in taken) for name in names]
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,23 @@ def test_run_is_the_stages(spark, corpus):
     path, _, _ = corpus
     made = corpus_pipeline.run(spark, path)
     assert made.columns[:3] == ["doc_id", "start", "length"] and made.count() > 50
+
+
+def test_repeats_and_null_ids_stay_once(spark, tmp_path):
+    rng = random.Random(2)
+    a, b, c, d, e, f = (prose(rng, 90) for _ in range(6))
+    rows = [(7, a), (7, a), (7, a), (None, b), (None, b), (None, b + " end"), (3, c), (9, c), (9, d), (None, e), (4, e), (5, f), (5, f + " end"), (None, None), (None, None)]
+    docs = documents(spark, [x for _, x in rows], ids=[i for i, _ in rows], sources=["s"] * len(rows))
+    kept = corpus_pipeline.stored(corpus_pipeline.near_dedup(spark, docs, ""))
+    got = Counter((r.doc_id, (r.text or "").removesuffix(" end")) for r in kept.collect())
+    assert got == {(7, a): 1, (None, b): 1, (3, c): 1, (9, d): 1, (4, e): 1, (5, f): 1, (None, ""): 2} and kept.columns == docs.columns
+    passed = corpus_pipeline.stored(corpus_pipeline.passage_dedup(spark, kept, ""))
+    assert sum(len(words(r.text)) for r in passed.collect()) == sum(len(words(r.text)) for r in kept.collect())
+    mixed = [r.text for r in corpus_pipeline.mixing(spark, passed, "").collect()]
+    assert sorted(x.removesuffix(" end") for x in mixed) == sorted([a, b, c, d, e, f])
+
+
+def test_rows_of_a_column_named_as_the_stage_names_its_own(spark):
+    docs = documents(spark, ["a b c d e f g", "a b c d e f g", "z y x w v u t"]).withColumnRenamed("row", "_ROW").withColumnRenamed("k", "_hash")
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
