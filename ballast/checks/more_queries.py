@@ -10,6 +10,7 @@ from ballast.functions.text import is_international, norm_station, normalize_nam
 from ballast.functions.time import service_day
 from ballast.operators import aggregates as A
 from ballast.operators import joins as J
+from ballast.operators.entities import fuzzy_station_match
 from ballast.registry import query
 
 STATIONS = "select feed||':'||stop_id as station_id, feed from b_stops"
@@ -133,3 +134,14 @@ def _(t):
 def _(t):
     text = F.expr("concat(o_orderpriority, left(' internationale dienstregeling', cast(o_orderkey % 40 as int)))")
     return t.orders.select("o_orderkey", is_international(text).alias("intl"))
+
+
+KINDS = "select p_type as name, min(p_partkey) as id from part group by p_type"
+TURNED = "select substr(p_type, instr(p_type, ' ')+1) as name, min(p_partkey) as id from part group by 1"
+
+
+@query("fn_17_fuzzy_station_match", f"""with l as ({TURNED}), r as ({KINDS}), c as (select *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') k from r),
+ p as (select l.id, l.name, c.id match_id, c.name match_name, 1-levenshtein(replace(lower(l.name), ' ', ''), c.k)/greatest(length(replace(l.name, ' ', '')), length(c.k))::double similarity from l cross join c)
+ select * from p where similarity>=0.5 qualify row_number() over (partition by id, name order by similarity desc, match_name)=1""")
+def _(t):
+    return fuzzy_station_match(t.sql(TURNED), t.sql(KINDS))

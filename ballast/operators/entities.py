@@ -104,20 +104,36 @@ def shared_stations(clusters: DataFrame) -> DataFrame:
 
 
 def fuzzy_station_match(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Best candidate per name: left(id, name) with right(id, name).
+    """Best candidate per name: left(id, name) with right(id, name), complete for every threshold.
 
-    Candidates share the rarest word of the left name that any right name has, so frequent
-    words (a town, "station") never pair all their bearers. Equal names are compared once.
+    A similarity of t needs t * longer length letters in common, whatever their order. Of each compact name, its letters
+    (the second "a" is another than the first) stand by how few right names have them; two names that share that many meet
+    in the first n - t * n + 1 of both. Names without a Latin letter or digit meet by their words. Equal names are
+    compared once. A threshold of 0 or less compares all.
     """
-    def words(df: DataFrame, name: str) -> DataFrame:
-        return df.select(name, F.explode(F.array_distinct(F.split(normalize_name(F.col(name)), "[^\\p{L}\\p{N}]+"))).alias("word")
-                         ).filter(F.col("word") != "")
-
-    lnames, rnames = left.select(F.col("name").alias("l_name")).distinct(), right.select(F.col("name").alias("r_name")).distinct()
-    rwords = words(rnames, "r_name")
-    rarity = rwords.groupBy("word").agg(F.count("*").alias("df"))
-    rarest = words(lnames, "l_name").join(rarity, "word").groupBy("l_name").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
-    scored = rarest.join(rwords, "word").withColumn("similarity", name_similarity(F.col("l_name"), F.col("r_name")))
+    def letters(df: DataFrame, side: str) -> DataFrame:
+        words = F.array_distinct(F.filter(F.split(normalize_name(F.col("name")), "[^\\p{L}\\p{N}]+"), lambda w: w != ""))
+        signs = F.split(F.col("c"), "")
+        nth = F.transform(signs, lambda x, i: F.concat(x, F.size(F.filter(F.slice(signs, 1, i + 1), lambda y: y == x)).cast("string")))
+        named = df.select("name").distinct().withColumn("c", norm_compact(F.col("name"))).filter("c is not null")
+        token = F.when(F.col("c") == "", F.transform(words, lambda w: F.concat(F.lit("word "), w))).otherwise(nth)
+        return named.select(F.col("name").alias(f"{side}_name"), F.length("c").alias(f"{side}_n"), F.explode(token).alias("token"))
+
+    lefts, rights = letters(left, "l"), letters(right, "r")
+    rarity = rights.groupBy("token").agg(F.count("*").alias("df"))
+
+    def rarest(df: DataFrame, side: str) -> DataFrame:
+        placed = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")))
+        n = F.col(f"{side}_n")
+        some = F.when(n == 0, F.size("all")).otherwise(F.greatest(n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)) + 1, F.lit(0))).cast("int")
+        lists = df.join(rarity, "token", "left").groupBy(f"{side}_name", f"{side}_n").agg(placed.alias("all"))
+        return lists.select(f"{side}_name", f"{side}_n", F.explode(F.slice("all", F.lit(1), some)).alias("t")).select(f"{side}_name", f"{side}_n", "t.token")
+
+    near = F.least("l_n", "r_n") >= F.greatest("l_n", "r_n") * F.lit(threshold) - F.lit(1e-9)
+    pairs = rarest(lefts, "l").join(rarest(rights, "r"), "token").filter(near).select("l_name", "r_name").distinct()
+    if threshold <= 0:
+        pairs = lefts.select("l_name").distinct().crossJoin(rights.select("r_name").distinct())
+    scored = pairs.withColumn("similarity", name_similarity(F.col("l_name"), F.col("r_name")))
     best = scored.groupBy("l_name").agg(F.min_by(F.struct("r_name", "similarity"), F.struct((-F.col("similarity")).alias("s"), "r_name")).alias("b"))
     best = best.filter(F.col("b.similarity") >= threshold).select("l_name", "b.*")
     target = right.groupBy(F.col("name").alias("r_name")).agg(F.min("id").alias("match_id"))
