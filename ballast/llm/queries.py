@@ -6,13 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ballast.llm import oracles
+from ballast.llm.centroids import centroid_clusters
 from ballast.llm.common import table
+from ballast.llm.conversations import repair_conversations
 from ballast.llm.fingerprints import fingerprints
 from ballast.llm.html_text import extract
 from ballast.llm.lattice import near_vectors
 from ballast.llm.minhash import near_duplicates
 from ballast.llm.mixing import mix
 from ballast.llm.phrase_dedup import phrase_dedup
+from ballast.llm.sharding import shard_documents
 from ballast.llm.suffix_dedup import suffix_dedup
 from ballast.llm.token_counts import count_tokens
 from ballast.llm.toxicity import toxicity
@@ -59,5 +62,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_phrase_dedup, op3_html_extraction, op4_minhash_dedup, op5_vector_packing, op6_fingerprints, op7_token_counts, op8_lattice_dedup, op9_toxicity, op10_suffix_dedup)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op13_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_phrase_dedup, op3_html_extraction, op4_minhash_dedup, op5_vector_packing, op6_fingerprints, op7_token_counts, op8_lattice_dedup, op9_toxicity, op10_suffix_dedup, op11_centroid_clustering, op12_conversation_repair, op13_feistel_sharding)}
 ORACLES = {"op2_phrase_dedup": oracles.PHRASES, "op4_minhash_dedup": oracles.NEAR, "op8_lattice_dedup": oracles.VECTORS, "op10_suffix_dedup": oracles.BYTES}
