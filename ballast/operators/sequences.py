@@ -121,11 +121,17 @@ def neighbour_pairs(stop_state: DataFrame) -> DataFrame:
 
 def neighbour_deltas(stop_state: DataFrame, refinement: DataFrame, as_of: int,
                      expansion: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Deltas, cancels and passages between neighbouring known stops of each trip.
+    """Deltas, cancels and passages between neighbouring known stops of each trip."""
+    pairs = neighbour_pairs(stop_state).withColumn("ts", F.lit(as_of).cast("bigint"))
+    return {kind: rows.drop(*(["ts"] if kind == "deltas" else [])) for kind, rows in pair_deltas(pairs, refinement, expansion).items()}
+
+
+def pair_deltas(pairs: DataFrame, refinement: DataFrame, expansion: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Deltas, cancels and passages of pairs of neighbouring stops as they stand at ``ts``, batch or stream.
 
     ``expansion`` (head, a, b -> fine, fraction) replaces the refinement of pairs it knows.
     """
-    pairs = neighbour_pairs(stop_state).withColumn("segment", segment_id(F.col("cluster"), F.col("next_cluster")))
+    pairs = pairs.withColumn("segment", segment_id(F.col("cluster"), F.col("next_cluster")))
     if expansion is None:
         fine = refine(pairs, refinement)
     else:
@@ -135,14 +141,13 @@ def neighbour_deltas(stop_state: DataFrame, refinement: DataFrame, as_of: int,
     neither = ~F.col("cancelled") & ~F.col("next_cancelled")
     delta = F.col("next_delay_s") - F.col("delay_s")
     run = fine.filter(neither & (F.abs(delta) <= MAX_SANE_DELTA_S))
-    past = (F.col("event_ts") <= as_of) & (F.col("next_event_ts") <= as_of)
+    past = (F.col("event_ts") <= F.col("ts")) & (F.col("next_event_ts") <= F.col("ts"))
     date = F.coalesce(F.nullif(F.col("service_date"), F.lit("")), F.col("next_service_date"))
     return {
         "deltas": run.select(F.col("label").alias("trip_id"), F.col("fine").alias("segment"),
-                             F.bround(delta * F.col("fraction")).cast("int").alias("delta_s")),
-        "cancels": fine.filter(both).select(F.col("fine").alias("segment"), F.col("label").alias("trip_id"),
-                                            date.alias("service_date"), F.lit(as_of).cast("bigint").alias("ts")),
-        "passages": run.filter(past).select(F.col("fine").alias("segment"), F.lit(as_of).cast("bigint").alias("ts")),
+                             F.bround(delta * F.col("fraction")).cast("int").alias("delta_s"), "ts"),
+        "cancels": fine.filter(both).select(F.col("fine").alias("segment"), F.col("label").alias("trip_id"), date.alias("service_date"), "ts"),
+        "passages": run.filter(past).select(F.col("fine").alias("segment"), "ts"),
     }
 
 
