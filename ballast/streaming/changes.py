@@ -205,7 +205,7 @@ class Blockade(StatefulProcessor):
         yield self.rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        now = timerValues.getCurrentWatermarkInMs() // 1000  # whatever comes is later
         passed = self.passed.get()[0] if self.passed.exists() else None
         trips = {k[0]: v[0] for k, v in self.trips.iterator()}
         end = self.end(trips)

@@ -67,7 +67,7 @@ class Neighbours(StatefulProcessor):
         return label, cluster, None if delay_s is None else int(delay_s), None if event_ts is None else int(event_ts), service_date, bool(cancelled)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        now = timerValues.getCurrentWatermarkInMs() // 1000  # whatever comes is later
         known = {k[0]: tuple(v) for k, v in self.stops.iterator()}
         for idx in [i for i, stop in known.items() if now - stop[-1] > self.unseen_s]:
             self.stops.removeKey((idx,))
