@@ -41,8 +41,8 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def text_tag(text: str = "text") -> Column:
-    """Fifteen bits of the text's hash; they part documents that share an id."""
-    return (F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0x7FFF))).cast("int")
+    """A hash of the text of its own, beside ``doc_key``: it parts documents that share an id, and makes 128 bits of those without."""
+    return F.xxhash64(F.lit(11), F.coalesce(F.col(text), F.lit("")))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -114,11 +114,11 @@ def find(docs: DataFrame, w: Windows) -> DataFrame:
                 text, first, number, place, anchor, content = anchors(tokens, bounds, w)
                 if len(text):
                     yield pa.record_batch({
-                        "k": pa.array(keys[at + text]), "t": pa.array(tags[at + text].astype(np.int32)), "anchor": pa.array(anchor), "content": pa.array(content),
+                        "k": pa.array(keys[at + text]), "t": pa.array(tags[at + text]), "anchor": pa.array(anchor), "content": pa.array(content),
                         "first": pa.array(first + shift[text]), "windows": pa.array(number.astype(np.int32)), "place": pa.array(place.astype(np.int32)),
                     })
 
-    return docs.select("k", "t", "text").mapInArrow(run, "k long, t int, anchor long, content long, first long, windows int, place int")
+    return docs.select("k", "t", "text").mapInArrow(run, "k long, t long, anchor long, content long, first long, windows int, place int")
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, w: Windows) -> DataFrame:

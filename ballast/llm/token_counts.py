@@ -59,6 +59,17 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def least_frequency(counted: DataFrame, most: int) -> int:
+    """The least power of two that at most ``most`` counts reach, from a histogram by powers of two."""
+    bits = counted.groupBy(F.length(F.bin("n")).alias("bits")).agg(F.count("*").alias("c")).collect()  # 64 rows at most
+    reached, power = 0, 62
+    for row in sorted(bits, reverse=True):
+        if reached + row.c > most:
+            break
+        reached, power = reached + row.c, row.bits - 1
+    return 1 << power
+
+
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit``) of every row.
 
@@ -81,7 +92,8 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
 
     corpus = docs.select("text").mapInArrow(_distinct, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
     pieces = stored(corpus.mapInArrow(counted, "pretoken string, n long, pieces int"))
-    common = pieces.filter(F.length("pretoken") <= HEAD_CHARS).orderBy(F.desc("n"), "pretoken").limit(HEAD)
+    short = pieces.filter(F.length("pretoken") <= HEAD_CHARS)
+    common = short.filter(F.col("n") >= least_frequency(short, HEAD))
     head = spark.sparkContext.broadcast({r.pretoken: r.pieces for r in common.select("pretoken", "pieces").toLocalIterator()})
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +103,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
             rows: list[list] = [[], [], [], [], [], [], []]
 
             def out(rows=rows) -> pa.RecordBatch:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
                 made = pa.record_batch([pa.array(x, y) for x, y in zip(rows, kinds, strict=True)], ["doc_id", "k", "t", "bytes", "sure", "pretoken", "n"])
                 for x in rows:
                     x.clear()
@@ -115,7 +127,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
                 yield out()
 
     keyed = docs.select("doc_id", doc_key().alias("k"), text_tag().alias("t"), "text")
-    parts = keyed.mapInArrow(frequencies, "doc_id long, k long, t int, bytes long, sure long, pretoken string, n long")
+    parts = keyed.mapInArrow(frequencies, "doc_id long, k long, t long, bytes long, sure long, pretoken string, n long")
     joined = parts.join(pieces.select("pretoken", "pieces"), "pretoken", "left")
     per_doc = joined.groupBy("doc_id", "k", "t").agg(
         F.count("bytes").alias("copies"), F.max("bytes").alias("n_bytes"), F.sum("sure").alias("sure"),
