@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -27,14 +28,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables that ``stored`` wrote and nobody has deleted, by the path of each.
+_tables: dict[str, SparkSession] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a result to the shared folder and read it back: lineage ends there, and every executor reaches it."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` gave and nothing will read again."""
+    for table_ in tables:
+        paths = {path for path in _tables for file in table_.inputFiles()[:1] if f"/{path.rsplit('/', 1)[-1]}/" in file}
+        for path in paths:
+            delete(path)
+
+
+def delete(path: str) -> None:
+    spark = _tables.pop(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def release(spark: SparkSession, docs: DataFrame) -> None:
+    """Between stages: delete every stored table but those that ``docs`` reads, and let Spark clean up finished shuffles.
+
+    For callers that have written what the stage before gave, so that ``docs`` alone is still to be read. Shuffle files
+    go when the driver no longer holds the plans they belong to.
+    """
+    mine = [path for path, owner in _tables.items() if owner is spark]
+    if mine:
+        read = {part for file in docs.inputFiles() for part in file.split("/") if part.startswith("llm-")}
+        for path in mine:
+            if path.rsplit("/", 1)[-1] not in read:
+                delete(path)
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def doc_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """What stands for a document in joins: its id, or a hash of its text where the id is null."""
     return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))))

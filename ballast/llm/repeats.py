@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import CHUNK_BYTES, chunks, doc_key, stored, text_tag, utf8
+from ballast.llm.common import CHUNK_BYTES, chunks, discard, doc_key, stored, text_tag, utf8
 from ballast.llm.hashing import BYTE_TOKENS, U64, mix, prefix, span, word_hashes, words
 
 #: Low bits of a k-gram's rank, which hold its place.
@@ -234,6 +234,7 @@ def covered(docs: DataFrame, w: Windows, resolver: Resolver, batch: int = 2048,
     # A written side lets Spark split the other one where an anchor is very frequent.
     twice = stored(everything.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     segments = stored(everything.join(twice, "anchor", "left_semi"))
+    discard(everything, twice)
     distinct = segments.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("k", "t", "first", "windows", "place")).alias("at"))
     wanted = distinct.select("anchor", "content", "times", "at.*")
     found = resolve(cut_out(docs, wanted, w), w, resolver, batch, most)
