@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, one operator after another.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of
-``documents``; ``run`` writes and rereads what lies between.
+``documents``; ``run`` writes and rereads what lies between. A stage begins by deleting what the stages before it stored
+on their way, but for what ``docs`` is read from: their results are written by then.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm.common import stored, table
+from ballast.llm.common import release, stored, table
 from ballast.llm.minhash import near_duplicates
 from ballast.llm.mixing import mixed
 from ballast.llm.suffix_dedup import suffix_dedup
@@ -33,6 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by a number of their own, so rows that repeat, share an id or have none are copies like others. Of
     equal ids the least hash of text and other columns stays. A null or empty text links with nothing and stays.
     """
+    release(spark, docs)
     names = free_names(docs, "_row", "_hash")
     row, mark = (F.col(c) for c in names)
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
@@ -56,6 +58,7 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that strings found elsewhere cover; one that loses all of them stays, with an empty text."""
+    release(spark, docs)
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     kept = suffix_dedup(docs, text=True, carry=rest)
     made = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")} | {c: F.col(f"_c{i}") for i, c in enumerate(rest)}
@@ -64,12 +67,14 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources mixed to their targets: a row for each time that words of a document are taken."""
+    release(spark, docs)
     made = mixed(docs)
     return made.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2,048 tokens."""
+    release(spark, docs)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
