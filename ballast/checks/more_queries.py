@@ -53,7 +53,9 @@ def _(t):
 @query("agg_09_service_baseline", RUNS + """, total as (select daytype, count(*) total from b_dates group by 1)
  select edge, "hour", b.daytype, count(*) m, any_value(total) total from day_run r join b_dates b on b.d=r.d join total k on k.daytype=b.daytype group by all having 2*count(*)>any_value(k.total)""")
 def _(t):
-    return A.service_baseline(served(t), t.dates).select("edge", "hour", "daytype", "m", "total")
+    days = J.service_days(t.calendar, t.calendar_dates, t.dates)
+    masks = A.served_days(t.sql("select trip_id, a, b, dep_s from b_hops"), t.trips.select("trip_id", "service_id"), t.refinement, t.segment_edges, days, t.dates)
+    return A.service_baseline(masks, t.dates).select("edge", "hour", "daytype", "m", "total")
 
 
 TERMS = {"build": ["building", "auto"], "home": ["household"], "farm": ["machinery", "furniture"]}

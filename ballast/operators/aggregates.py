@@ -107,14 +107,9 @@ def edge_cancels(cancel_obs: DataFrame, segment_edges: DataFrame, as_of: int, wi
     return to_edges(first, segment_edges).groupBy("edge", *TRAIN).agg(F.min("ts").alias("ts"))
 
 
-def served_edge_hours(hops: DataFrame, trips: DataFrame, refinement: DataFrame, segment_edges: DataFrame,
-                      service_days: DataFrame) -> DataFrame:
-    """Distinct (date, edge, hour) with a scheduled train.
-
-    Trips shrink to distinct (service, segment, hour) first; only those meet edges and dates.
-    """
+def service_edge_hours(hops: DataFrame, trips: DataFrame, refinement: DataFrame, segment_edges: DataFrame, service: Sequence[str]) -> DataFrame:
+    """Distinct (service, edge, hour) of scheduled trains. Trips shrink to distinct (service, segment, hour) before they meet edges."""
     trip = present(hops, "feed") + ["trip_id"]
-    service = present(service_days, "feed") + ["service_id"]
     hour = (F.floor(F.col("dep_s") / 3600).cast("bigint") % 24).alias("hour")
     timed = hops.filter(F.col("dep_s").isNotNull()).select(*trip, segment_id(F.col("a"), F.col("b")).alias("segment"), hour)
     run = timed.join(trips.select(*dict.fromkeys([*trip, *service])), trip)
@@ -122,16 +117,51 @@ def served_edge_hours(hops: DataFrame, trips: DataFrame, refinement: DataFrame,
     parts = refinement.select(F.col("coarse").alias("segment"), F.col("fine"))
     refined = by_service.join(parts, "segment").select(*service, F.col("fine").alias("segment"), "hour")
     on_edges = to_edges(by_service.union(refined.select(*by_service.columns)).distinct(), segment_edges)
-    edge_hours = on_edges.select(*service, "edge", "hour").distinct()
+    return on_edges.select(*service, "edge", "hour").distinct()
+
+
+def served_edge_hours(hops: DataFrame, trips: DataFrame, refinement: DataFrame, segment_edges: DataFrame,
+                      service_days: DataFrame) -> DataFrame:
+    """Distinct (date, edge, hour) with a scheduled train, a row each; ``served_days`` has them as bits."""
+    service = present(service_days, "feed") + ["service_id"]
+    edge_hours = service_edge_hours(hops, trips, refinement, segment_edges, service)
     return edge_hours.join(service_days, service).select("d", "edge", "hour").distinct()
 
 
-def service_baseline(served: DataFrame, dates: DataFrame) -> DataFrame:
-    """Edge hours served on more than half of the dates of a day type."""
+#: Days of one mask.
+MASK_DAYS = 64
+
+
+def day_bits(dates: DataFrame) -> DataFrame:
+    """The dates with ``word`` and ``bit``: day i is bit i % 64 of mask i // 64."""
+    return dates.withColumns({"word": F.expr(f"i div {MASK_DAYS}"), "bit": F.expr(f"shiftleft(1L, cast(i % {MASK_DAYS} as int))")})
+
+
+def served_days(hops: DataFrame, trips: DataFrame, refinement: DataFrame, segment_edges: DataFrame,
+                service_days: DataFrame, dates: DataFrame) -> DataFrame:
+    """edge, hour, word, days: the dates on which a train is scheduled, as bits. dates: d, i (its number, from 0).
+
+    A service's dates are one mask, so an edge hour's are the union of its services' masks, and no row stands for a date.
+    """
+    service = present(service_days, "feed") + ["service_id"]
+    runs = service_days.join(day_bits(dates).select("d", "word", "bit"), "d").groupBy(*service, "word").agg(F.bit_or("bit").alias("days"))
+    edge_hours = service_edge_hours(hops, trips, refinement, segment_edges, service)
+    return edge_hours.join(runs, service).groupBy("edge", "hour", "word").agg(F.bit_or("days").alias("days"))
+
+
+def days_of_type(dates: DataFrame) -> DataFrame:
+    """daytype, word, mask and total: the dates of each day type as bits, and how many there are over all words."""
+    masks = day_bits(dates).groupBy("daytype", "word").agg(F.bit_or("bit").alias("mask"))
     totals = dates.groupBy("daytype").agg(F.count("*").alias("total"))
-    met = served.select("d", "edge", "hour").distinct().join(dates.select("d", "daytype"), "d")
-    counted = met.groupBy("edge", "hour", "daytype").agg(F.count("*").alias("m"))
-    return counted.join(totals, "daytype").filter(F.col("m") * 2 > F.col("total"))
+    return masks.join(totals, "daytype")
+
+
+def service_baseline(served: DataFrame, dates: DataFrame) -> DataFrame:
+    """Edge hours served on more than half of the dates of a day type, from the masks of ``served_days``."""
+    types = F.broadcast(days_of_type(dates))  # a row for each day type and 64 dates
+    met = served.join(types, "word").select("edge", "hour", "daytype", "total", F.bit_count(F.col("days").bitwiseAND(F.col("mask"))).cast("bigint").alias("m"))
+    counted = met.groupBy("edge", "hour", "daytype", "total").agg(F.sum("m").alias("m"))
+    return counted.filter(F.col("m") * 2 > F.col("total"))
 
 
 def multi_feed_clusters(stations: DataFrame, station_cluster: DataFrame) -> DataFrame:

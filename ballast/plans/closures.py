@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballast.functions.time import day_type
-from ballast.operators.aggregates import served_edge_hours, service_baseline
+from ballast.operators.aggregates import day_bits, days_of_type, served_days, service_baseline
 from ballast.operators.joins import service_days
 from ballast.operators.sequences import closed_runs
 from ballast.session import cut_lineage
@@ -21,10 +21,18 @@ def sample_dates(spark, start: str, days: int = SAMPLE_DAYS) -> DataFrame:
 
 
 def closure_candidates(served: DataFrame, dates: DataFrame, lookahead: int = LOOKAHEAD_DAYS) -> DataFrame:
-    """Unserved (date, edge, hour) of the coming days that are in the baseline of their day type."""
+    """Unserved (date, edge, hour) of the coming days that are in the baseline of their day type.
+
+    What is missing of a coming type's days is found on masks; only missing days become rows.
+    """
     strong = service_baseline(served, dates).select("edge", "hour", "daytype")
-    coming = dates.filter(F.col("i") < lookahead).select("d", "daytype")
-    return strong.join(coming, "daytype").select("d", "edge", "hour").join(served, ["d", "edge", "hour"], "left_anti")
+    coming = dates.filter(F.col("i") < lookahead)
+    masks = F.broadcast(days_of_type(coming).drop("total"))  # a row for each day type and 64 dates
+    have = served.select("edge", "hour", "word", "days")
+    missing = strong.join(masks, "daytype").join(have, ["edge", "hour", "word"], "left").withColumn(
+        "open", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("days", F.lit(0).cast("bigint"))))).filter("open <> 0")
+    bits = F.broadcast(day_bits(coming).select("d", "word", "bit"))  # a row for each coming date
+    return missing.join(bits, "word").filter(F.col("open").bitwiseAND(F.col("bit")) != 0).select("d", "edge", "hour")
 
 
 def planned_closures(hops: DataFrame, trips: DataFrame, refinement: DataFrame, segment_edges: DataFrame,
@@ -32,8 +40,8 @@ def planned_closures(hops: DataFrame, trips: DataFrame, refinement: DataFrame, s
                      lookahead: int = LOOKAHEAD_DAYS, min_run: int = MIN_RUN_HOURS) -> DataFrame:
     """Blocks (d, edge, hour_start, hour_end) without planned service. dates: d, i (0 = first), daytype.
 
-    The served presence set is used twice and kept in the shared checkpoint folder between.
+    The served days, a mask for each edge and hour, are used twice and kept in the shared checkpoint folder between.
     """
     days = service_days(calendar, calendar_dates, dates)
-    served = cut_lineage(served_edge_hours(hops, trips, refinement, segment_edges, days))
+    served = cut_lineage(served_days(hops, trips, refinement, segment_edges, days, dates))
     return closed_runs(closure_candidates(served, dates, lookahead), min_run)
