@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballast.functions.geo import haversine_m, segment_id
-from ballast.functions.time import service_day_floor
 from ballast.operators.joins import refine, to_edges
 from ballast.operators.sequence_tools import at_instants, beside, present
 
@@ -67,43 +66,38 @@ def edge_delay_by_train(seg_obs: DataFrame, segment_edges: DataFrame, as_of: Dat
     return rank_value(counts, ["as_of", "edge"], "delta_s").withColumnRenamed("n_obs", "n_trains")
 
 
-def recent_days(obs: DataFrame, as_of: int, window_s: int, longest_run_h: int = 72) -> DataFrame:
-    """Observations of the window, bounded by service date so that day partitions are pruned.
-
-    A train observed in the window set out in it or at most ``longest_run_h`` before, so the bound takes no row away.
-    """
-    floor = service_day_floor(F.lit(as_of), -(-window_s // 3600) + longest_run_h)
-    return obs.filter((F.col("service_date") >= floor) & (F.col("ts") >= as_of - window_s))
+def recent(obs: DataFrame, as_of: int, window_s: int) -> DataFrame:
+    """Observations of the window, whatever their service date, null included. The log is written in order of time, so its
+    files' least and greatest ``ts`` keep the scan to the window."""
+    return obs.filter(F.col("ts") >= as_of - window_s)
 
 
 def train_stats(stop_obs: DataFrame, as_of: int, window_s: int) -> DataFrame:
-    return recent_days(stop_obs, as_of, window_s).groupBy(*TRAIN).agg(
+    return recent(stop_obs, as_of, window_s).groupBy(*TRAIN).agg(
         F.min("ts").alias("first_ts"), F.count("*").alias("n_obs"))
 
 
 def latest_per_cluster(stop_obs: DataFrame, as_of: int, window_s: int) -> DataFrame:
     last = F.max(F.struct("ts", "seq", "delay_s")).alias("_last")
-    return recent_days(stop_obs, as_of, window_s).groupBy(*TRAIN, "cluster").agg(last).select(
+    return recent(stop_obs, as_of, window_s).groupBy(*TRAIN, "cluster").agg(last).select(
         *TRAIN, "cluster", "_last.delay_s", "_last.ts", "_last.seq")
 
 
 def cancel_stats(cancel_obs: DataFrame, as_of: int, window_s: int) -> DataFrame:
-    return recent_days(cancel_obs, as_of, window_s).groupBy(*TRAIN).agg(
+    return recent(cancel_obs, as_of, window_s).groupBy(*TRAIN).agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
 
 
 def edge_passages(seg_obs: DataFrame, segment_edges: DataFrame, as_of: int, window_s: int) -> DataFrame:
     """Latest delta of each trip on each edge it passed in the window."""
-    recent = seg_obs.filter(F.col("ts") >= as_of - window_s)
-    last = recent.groupBy("segment", "country", "trip_id").agg(F.max(F.struct("ts", "seq", "delta_s")).alias("_last"))
+    last = recent(seg_obs, as_of, window_s).groupBy("segment", "country", "trip_id").agg(F.max(F.struct("ts", "seq", "delta_s")).alias("_last"))
     on_edge = to_edges(last, segment_edges).groupBy("edge", "country", "trip_id").agg(F.max("_last").alias("_last"))
     return on_edge.select("edge", "country", "trip_id", "_last.delta_s", "_last.ts")
 
 
 def edge_cancels(cancel_obs: DataFrame, segment_edges: DataFrame, as_of: int, window_s: int) -> DataFrame:
     """First cancellation of each train on each edge in the window."""
-    recent = recent_days(cancel_obs, as_of, window_s)
-    first = recent.groupBy("segment", *TRAIN).agg(F.min("ts").alias("ts"))
+    first = recent(cancel_obs, as_of, window_s).groupBy("segment", *TRAIN).agg(F.min("ts").alias("ts"))
     return to_edges(first, segment_edges).groupBy("edge", *TRAIN).agg(F.min("ts").alias("ts"))
 
 

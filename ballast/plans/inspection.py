@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballast.operators.aggregates import TRAIN, cancel_stats, edge_cancels, edge_passages, latest_per_cluster, train_stats
+from ballast.operators.aggregates import TRAIN, cancel_stats, edge_cancels, edge_passages, latest_per_cluster, recent
 from ballast.operators.joins import all_train_keys, attribute_passages, trip_metadata
 
 WINDOW_S = 4 * 3600
-COLUMNS = [
-    "country", "trip_id", "service_date", "train_number", "route", "origin", "destination", "sched_dep", "sched_arr",
-    "delay_s", "last_stop", "first_ts", "last_ts", "n_obs", "sched_known", "cancelled",
-]
 
 
 def row_id() -> Column:
@@ -35,11 +31,13 @@ def train_table(stop_obs: DataFrame, cancel_obs: DataFrame, metadata: dict[str,
     A train seen only as cancelled has no delay and takes its bounds from the cancellations;
     without a timetable its first and last observed stations stand for origin and destination.
     """
-    seen = latest_per_cluster(stop_obs, as_of, window_s)
-    order = F.struct("ts", "seq")
-    spans = seen.groupBy(*TRAIN).agg(
-        F.max_by(F.struct("cluster", "delay_s", "ts"), order).alias("_last"), F.min_by("cluster", order).alias("_first_cluster"))
-    observed = spans.join(train_stats(stop_obs, as_of, window_s), TRAIN)
+    # Per cluster first, as a train repeats itself at every poll; origin and destination are told by each cluster's last row.
+    per_cluster = recent(stop_obs, as_of, window_s).groupBy(*TRAIN, "cluster").agg(
+        F.max(F.struct("ts", "seq", "delay_s")).alias("_at"), F.min("ts").alias("_begun"), F.count("*").alias("_n"))
+    order = F.struct("_at.ts", "_at.seq")
+    observed = per_cluster.groupBy(*TRAIN).agg(
+        F.max_by(F.struct("cluster", "_at.delay_s", "_at.ts"), order).alias("_last"), F.min_by("cluster", order).alias("_first_cluster"),
+        F.min("_begun").alias("first_ts"), F.sum("_n").alias("n_obs"))
     cancelled = cancel_stats(cancel_obs, as_of, window_s).select(
         *TRAIN, F.col("first_ts").alias("_c_first"), F.col("last_ts").alias("_c_last"), F.lit(True).alias("_cancelled"))
     both = all_train_keys(observed, cancelled)

@@ -1,5 +1,6 @@
 """Hand-computed results on small inputs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ballast.functions import text as X
@@ -126,6 +127,36 @@ def test_duplicates_by_brute_force(spark):
     assert D.duplicate_trips_by_day(df, trips, days).count() == len(want)
 
 
+@pytest.mark.parametrize("share", [0.8, 0.5])
+def test_duplicates_of_long_trips(spark, share):
+    """Trips of up to fourteen calls and copies of them, moved, thinned out, with calls in between and back at one place."""
+    import random
+
+    rng = random.Random(5)
+    events = []
+    for i in range(30):
+        at, calls = rng.randrange(0, 3000), []
+        for _ in range(rng.randrange(2, 15)):
+            at += rng.choice([60, 130, 400])
+            calls.append((f"c{rng.randrange(9)}", at))
+        events += [(f"t{i}", f"f{i % 3}", *c) for c in calls]
+        kept = [(c, d + rng.randrange(-110, 111)) for c, d in calls if rng.random() < 0.9]
+        kept += [(f"c{rng.randrange(9)}", rng.randrange(0, 5000)) for _ in range(rng.randrange(4))]
+        events += [(f"u{i}", f"f{(i + 1) % 3}", *c) for c in kept]
+    events += [("u0", "f1", "c1", None), ("t1", "f1", "c2", None)]
+    df = spark.createDataFrame(events, "trip_id string, feed string, cluster_id string, dep_s int")
+    n, feed, shared = {}, {}, {}
+    for t, f, *_ in events:
+        n[t], feed[t] = n.get(t, 0) + 1, f
+    for a, fa, ca, da in events:
+        for b, fb, cb, db in events:
+            if fa < fb and ca == cb and None not in (da, db) and abs(da - db) <= 120:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    want = {(a, b, s) for (a, b), s in shared.items() if min(n[a], n[b]) >= 2 and s >= share * min(n[a], n[b])}
+    assert len(want) > 15
+    assert set(rows(D.duplicate_trips(df, 120, share), "trip_a", "trip_b", "shared")) == want
+
+
 def test_nearest_span(spark):
     trains = spark.createDataFrame([("c", "t", "R1", 100, 200), ("c", "t", "R2", 500, 600)], "country string, trip_id string, row_id string, first_ts long, last_ts long")
     met = J.attribute_passages(spark.createDataFrame([("c", t, ts) for t, ts in [("t", 150), ("t", 340), ("t", 350), ("t", 550), ("u", 1)]],
@@ -143,6 +174,8 @@ def test_no_row_is_lost_at_the_edges(spark, tmp_path):
     as_of = 1705000000
     obs = spark.createDataFrame([("nl", "t", "20240105", "c", as_of - 6 * 86400, 1, 5)], "country string, trip_id string, service_date string, cluster string, ts long, seq long, delay_s int")
     assert aggregates.train_stats(obs, as_of, 7 * 86400).count() == 1
+    undated = spark.createDataFrame([("nl", "t", d, "c", as_of - 10, 1, 5) for d in (None, "", "20231201")], obs.schema)
+    assert aggregates.latest_per_cluster(undated, as_of, 3600).count() == 3
     station = spark.createDataFrame([("c", 52.0, 5.0)], "cluster_id string, lat double, lon double")
     node = spark.createDataFrame([(1, 52.0, 5.021)], "node_id long, lat double, lon double")
     assert [round(r.dist_m) for r in spatial.snap_stations(station, node, 1500.0).collect()] == [1438]
