@@ -119,7 +119,17 @@ def _(t):
     return A.polyline_length(points).select("id", F.round("length_m", 0).alias("length_m"))
 
 
-@query("gr_01_refinement_paths")
+# All chains of strictly shorter segments within the cap, the shortest of each express segment kept.
+M = "2*6371000e0*asin(sqrt(pow(sin(radians({c}-{a})/2),2)+cos(radians({a}))*cos(radians({c}))*pow(sin(radians({d}-{b})/2),2)))"
+
+
+@query("gr_01_refinement_paths", f"""with recursive s as (select g.segment, g.a, g.b, y.lat, y.lon, greatest({M.format(a='x.lat', b='x.lon', c='y.lat', d='y.lon')}, 1) w from b_segments g join b_clusters x on x.cluster_id=g.a join b_clusters y on y.cluster_id=g.b),
+ l as (select a u, b v, w, segment from s union all select b, a, w, segment from s),
+ r as (select segment express, a node, 0e0 g, []::varchar[] path, [a] seen, w, b goal, lat, lon from s where w>=8000
+  union all select express, l.v, g+l.w, list_append(path, l.segment), list_append(seen, l.v), r.w, goal, r.lat, r.lon from r join l on l.u=r.node join b_clusters c on c.cluster_id=l.v
+   where r.node<>goal and l.w<r.w and not list_contains(seen, l.v) and g+l.w+{M.format(a='c.lat', b='c.lon', c='r.lat', d='r.lon')}<=1.3*r.w+3000),
+ best as (select express, arg_min(path, g) p from r where node=goal group by 1)
+ select express segment, cast(i-1 as int) pos, p[i] link from best, unnest(range(1, len(p)+1)) u(i) where len(p)>1""")
 def _(t):
     return R.refinement_paths(t.segments, t.clusters)
 
