@@ -22,6 +22,8 @@ from ballast.llm.hashing import words
 BLOCK = 64
 #: Slots of an output shard, on average.
 SHARD_SLOTS = 4096
+#: Copies of a document that are numbered at once.
+COPIES = 1 << 12
 #: Ranges of a source's documents whose sizes are added up apart.
 RANGES = 4096
 
@@ -97,7 +99,8 @@ def sizes_of(docs: DataFrame) -> DataFrame:
 
 
 def take(sized: DataFrame, targets: DataFrame, block: int, seed: int) -> DataFrame:
-    """source, k, t, copies, copy, pass, a, b: the words [a, b) that a pass over a source takes from a copy of a document."""
+    """source, k, t, copy, pass, a, b, shard, slot, at: the words [a, b) of a copy of a document that a slot of an output shard
+    holds from its word ``at`` on; pass tells the how many-th time the source is gone over."""
     # Documents end to end: sizes are added up per range of a source, then within it.
     ranged = sized.filter("size > 0").groupBy("source", "k", "t").agg(F.max("size").alias("size"), F.count("*").alias("copies"))
     ranged = ranged.withColumn("range", F.pmod(F.xxhash64("k", "t"), F.lit(RANGES)))
@@ -107,12 +110,19 @@ def take(sized: DataFrame, targets: DataFrame, block: int, seed: int) -> DataFra
     inside = Window.partitionBy("source", "range").orderBy("k", "t").rowsBetween(Window.unboundedPreceding, -1)
     laid = ranged.withColumn("inner", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
     laid = laid.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
-    laid = laid.withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)"))).withColumn("start", F.expr("base + inner + copy * size"))
+    laid = each_copy(laid).withColumn("start", F.expr("base + inner + copy * size"))
     parts = laid.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     slots = draws(targets, block, seed).withColumnRenamed("source", "s").hint("merge")
     joined = parts.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("index")))
     joined = joined.withColumn("a", F.expr(f"greatest(start, block * {block}) - start")).withColumn("b", F.expr(f"least(start + size, block * {block} + words) - start"))
-    return joined.filter("a < b").select("source", "k", "t", "copies", "copy", "pass", "a", "b")
+    at = F.expr(f"greatest(start - block * {block}, 0)")
+    return joined.filter("a < b").select("source", "k", "t", "copy", "pass", "a", "b", "shard", "slot", at.alias("at"))
+
+
+def each_copy(df: DataFrame) -> DataFrame:
+    """A row for each of ``copies``, numbered by ``copy`` from 0; numbers are made in parts, so that no list is long."""
+    parts = df.withColumn("_part", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})")))
+    return parts.withColumn("copy", F.explode(F.expr(f"sequence(_part * {COPIES}, least(copies, (_part + 1) * {COPIES}) - 1)"))).drop("_part")
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...], most: float, block: int) -> tuple[DataFrame, DataFrame]:
@@ -122,20 +132,51 @@ def plan(docs: DataFrame, weights: tuple[float, ...], most: float, block: int) -
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = BLOCK, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every row.
+    """doc_id, size, source_size, target, taken (words the mix takes, repeats counted), and the first and the last output shard that
+    holds any of them, of every row.
 
     ``size`` counts words; a null or empty text has none. A null source is a source, and stands last. Rows that share id,
-    text and source share their words' slots, so each of them has the same ``taken``; a null doc_id stays null. No
+    text and source have slots of their own each; which of them has which cannot be told. A null doc_id stays null. No
     document is taken more than ``most`` (rounded up) times. Other columns are ignored; an empty table gives an empty
     result. A rerun draws the same.
     """
     sized, targets = plan(docs, weights, most, block)
-    taken = take(sized, targets, block, seed).groupBy("source", "k", "t").agg(F.expr("sum(b - a) div max(copies)").alias("taken"))
-    s, u = sized.alias("s"), taken.alias("u")
-    known = s.join(u, F.col("s.source").eqNullSafe(F.col("u.source")) & (F.col("s.k") == F.col("u.k")) & (F.col("s.t") == F.col("u.t")), "left")
-    known = known.select("s.doc_id", F.col("s.source").alias("own"), "s.size", F.coalesce("u.taken", F.lit(0)).alias("taken"))
-    known = known.join(targets, F.col("own").eqNullSafe(F.col("source")))
-    return known.select("doc_id", "size", "source_size", "target", "taken")
+    taken = take(sized, targets, block, seed).groupBy("source", "k", "t", "copy").agg(
+        F.sum(F.col("b") - F.col("a")).alias("taken"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
+    copies = each_copy(sized.filter("size > 0").groupBy("doc_id", "source", "k", "t", "size").agg(F.count("*").alias("copies")))
+    s, u = copies.alias("s"), taken.alias("u")
+    same = [F.col(f"s.{c}") == F.col(f"u.{c}") for c in ("k", "t", "copy")]
+    known = s.join(u, F.col("s.source").eqNullSafe(F.col("u.source")) & same[0] & same[1] & same[2], "left")
+    shards = ["first_shard", "last_shard"]
+    known = known.select("s.doc_id", F.col("s.source").alias("own"), "s.size", F.coalesce("u.taken", F.lit(0)).alias("taken"), *shards)
+    none = F.lit(None).cast("long")
+    wordless = sized.filter("size = 0").select("doc_id", F.col("source").alias("own"), "size", F.lit(0).cast("long").alias("taken"), *[none.alias(c) for c in shards])
+    known = known.union(wordless).join(targets, F.col("own").eqNullSafe(F.col("source")))
+    return known.select("doc_id", "size", "source_size", "target", "taken", *shards)
+
+
+def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = BLOCK, seed: int = 17) -> DataFrame:
+    """The output shards in fixed-length blocks: shard, source, slot, at, text: the words from word ``at`` on of what a slot holds.
+
+    A shard holds of each source as many slots as it has drawn; a slot that lies across documents comes in parts, one a
+    document. Words are joined by one space. What ``mix`` says of nulls, repeats and empty tables holds here.
+    """
+    sized, targets = plan(docs, weights, most, block)
+    parts = take(sized, targets, block, seed).groupBy("source", "k", "t", "copy").agg(F.collect_list(F.struct("shard", "slot", "at", "a", "b")).alias("parts"))
+    each = docs.select(doc_key().alias("k"), text_tag().alias("t"), F.col("source").cast("string").alias("own"), "text").dropDuplicates(["k", "t", "own"])
+    held = each.join(parts, (each.k == parts.k) & (each.t == parts.t) & each.own.eqNullSafe(parts.source)).select("source", "text", "parts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for i, cell in enumerate(batch.column(2)):
+                body = data[offsets[i] : offsets[i + 1]].tobytes().split()  # splits at the six white-space bytes
+                shard, slot, at, a, b = cell.values.flatten()
+                texts = [b" ".join(body[x:y]).decode() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+                source = pa.array([batch.column(0)[i].as_py()] * len(texts), pa.string())
+                yield pa.record_batch([shard, source, slot, at, pa.array(texts, pa.string())], ["shard", "source", "slot", "at", "text"])
+
+    return held.mapInArrow(run, "shard long, source string, slot long, at long, text string")
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, block: int = BLOCK, seed: int = 17) -> DataFrame:
@@ -170,8 +211,13 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float =
 
 
 def draws(targets: DataFrame, block: int, seed: int) -> DataFrame:
-    """source, shard, pass, index, words: the block of every slot, and how many of its words the slot takes."""
-    shards = targets.filter("source_size > 0").withColumn("shards", F.expr(f"bigint(ceil((floor(target) / {block} + 3) / {SHARD_SLOTS}))"))
+    """source, shard, slot, pass, index, words: the block of every slot, and how many of its words the slot takes.
+
+    All sources fill the same output shards. Each draws, over all shards alike, how many of its slots lie in each, so a
+    shard's counts by source are a multinomial draw, and a source's slots over all shards are those of its target.
+    """
+    slots = targets.agg(F.sum(F.floor("target") / block + 3)).first()[0] or 0
+    shards = targets.filter("source_size > 0").withColumn("shards", F.lit(max(1, -int(-slots // SHARD_SLOTS))).cast("long"))
     shards = shards.withColumn("shard", F.explode(F.expr("sequence(0L, shards - 1)")))
     shards = shards.repartition(F.col("source"), F.col("shard"))
 
@@ -192,9 +238,9 @@ def draws(targets: DataFrame, block: int, seed: int) -> DataFrame:
                 words_taken = np.full(count, block, np.int64)
                 words_taken[slot == passes * n_blocks + last - 1] = rest - block * (last - 1) if last else block
                 yield pa.record_batch({
-                    "source": pa.array([row["source"]] * count, pa.string()), "shard": pa.array(np.full(count, row["shard"])),
+                    "source": pa.array([row["source"]] * count, pa.string()), "shard": pa.array(np.full(count, row["shard"])), "slot": pa.array(slot),
                     "pass": pa.array(number), "index": pa.array(index), "words": pa.array(words_taken),
                 })
 
-    return shards.mapInArrow(run, "source string, shard long, pass long, index long, words long")
+    return shards.mapInArrow(run, "source string, shard long, slot long, pass long, index long, words long")
 

@@ -12,7 +12,7 @@ import sentencepiece
 sys.path.insert(0, os.path.dirname(__file__))
 from helpers import covered, documents, prose, words  # noqa: E402
 
-from ballast.llm.mixing import mix, mixed
+from ballast.llm.mixing import mix, mixed, mixed_blocks
 from ballast.llm.phrase_dedup import phrase_dedup
 from ballast.llm.suffix_dedup import suffix_dedup
 from ballast.llm.token_counts import count_tokens, least_frequency
@@ -58,3 +58,34 @@ def test_mix_takes_no_words_that_are_not_there(spark):
     assert all(0 <= r.taken <= 3 * r["size"] for r in rows) and sum(r["size"] for r in rows) == rows[0].source_size
     assert abs(sum(r.taken for r in rows) - rows[0].target) <= 64
     assert abs(sum(len(words(r.text)) for r in mixed(docs).select("text").collect()) - rows[0].target) <= 64
+
+
+def test_shards_hold_a_drawn_mix_of_blocks(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, rng.randrange(0, 900)) for _ in range(300)] + ["copy of words"] * 60
+    sources = [("a", "b", "c", None)[i % 4] for i in range(360)]
+    docs = documents(spark, texts, list(range(300)) + [5] * 60, sources)
+    rows = mixed_blocks(docs, block=8).collect()
+    target = {r.source: r.target for r in mix(docs, block=8).join(docs.select("doc_id", "source").dropDuplicates(["doc_id"]), "doc_id").collect()}
+    held, in_shard, whole = Counter(), Counter(), {}
+    for r in rows:
+        n = len(words(r.text))
+        held[r.source] += n
+        in_shard[r.shard, r.source] += n
+        whole.setdefault((r.source, r.slot), []).append((r.at, n))
+    assert all(abs(held[s] - target[s]) <= 8 for s in target)
+    shards = {s for s, _ in in_shard}
+    assert len(shards) >= 2 and {(s, x) for s in shards for x in target} == set(in_shard)
+    for source in target:  # counts vary from shard to shard, near their mean
+        counts = [in_shard[s, source] / 8 for s in shards]
+        mean = sum(counts) / len(counts)
+        assert len(set(counts)) > 1 and all(abs(c - mean) < 6 * mean**0.5 for c in counts)
+    for parts in whole.values():  # what a slot holds lies end to end, eight words at most
+        parts.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and parts[0][0] == 0 and sum(n for _, n in parts) <= 8
+
+
+def test_copies_of_a_document_lose_no_word(spark):
+    docs = documents(spark, ["one two three"] * 500 + [prose(random.Random(2), 3000)], [1] * 500 + [2], ["s"] * 500 + ["t"])
+    rows = mix(docs).collect()
+    assert len(rows) == 501 and all(abs(sum(r.taken for r in rows if r.source_size == n) - next(r.target for r in rows if r.source_size == n)) <= 64 for n in (1500, 3000))

@@ -71,7 +71,7 @@ def test_mix(spark):
 
 def test_mix_repeats_and_nothing(spark):
     rows = mix(documents(spark, ["a b c", "a b c", "d e"], ids=[1, 1, None], sources=["s", "s", "t"])).collect()
-    assert len(rows) == 3 and len({r.taken for r in rows if r.doc_id == 1}) == 1
+    assert len(rows) == 3 and abs(sum(r.taken for r in rows if r.doc_id == 1) - rows[0].target) <= 64
     assert mix(documents(spark, [])).count() == 0 and mix(documents(spark, [None, ""])).filter("taken = 0 and target = 0").count() == 2
 
 
