@@ -7,6 +7,7 @@ the size of the next frontier.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,48 +23,74 @@ from ballast.session import cut_lineage
 EPSILON_M = 1e-9
 
 
+def rows_on_paths(tree: DataFrame, ends: DataFrame, key: str) -> DataFrame:
+    """The rows of trees (key, node, pred, n and more; roots have no pred) that lie between the roots and the ends (key, node).
+
+    By doubling: each round adds the ancestors twice as far away, so paths of n links take log2(n) rounds.
+    """
+    own = cut_lineage(tree.join(ends.select(key).distinct(), key, "left_semi"))
+    jump = own.filter(F.col("pred").isNotNull()).select(key, "node", "pred")
+    marked = cut_lineage(ends.select(key, "node"))
+    most, reach = own.agg(F.max("n")).first()[0] or 0, 1
+    while reach <= most:
+        further = marked.join(jump, [key, "node"]).select(key, F.col("pred").alias("node"))
+        marked = cut_lineage(marked.unionByName(further))
+        reach *= 2
+        if reach <= most:
+            onward = jump.select(key, F.col("node").alias("pred"), F.col("pred").alias("_to"))
+            jump = cut_lineage(jump.join(onward, [key, "pred"]).select(key, "node", F.col("_to").alias("pred")))
+    return own.join(marked, [key, "node"])
+
+
+#: Rounds after which the rows of all rounds so far are written as one table.
+ROUNDS_A_TABLE = 8
+
+
 def relax_paths(pairs: DataFrame, starts: DataFrame, links: DataFrame, exits: DataFrame,
                 max_rounds: int | None = None) -> DataFrame:
-    """Cheapest path of each pair: pair, total, steps (link tags), node (the exit taken).
+    """Cheapest path of each pair: pair, total, node (the exit taken), n (its place on the path, from 0) and tag, a row for its start and each link.
 
     pairs: pair, goal_lat, goal_lon, cap (greatest total allowed) and w_max (links must be
-    shorter; NULL for any). starts: pair, node, g, steps. links: u, v, w, v_lat, v_lon, tag.
+    shorter; NULL for any). starts: pair, node, g, tag. links: u, v, w, v_lat, v_lon, tag.
     exits: pair, node, exit_w. Partial paths that cannot end within the cap, or within the
-    best total found so far, are dropped. Equal totals take fewer links, then the first tags.
+    best total found so far, are dropped. Equal totals take fewer links, then the first tag at the last link that differs.
+
+    A node's state is its total, its number of links and the link it was reached by. A round writes the nodes that
+    it improves, no others; paths are read off the links at the end.
     """
-    state = starts.select("pair", "node", "g", "steps", F.lit(0).alias("round"))
-    state = cut_lineage(state)
+    state = F.struct("g", "n", "tag", "pred")
+    delta = cut_lineage(starts.select("pair", "node", "g", F.lit(0).alias("n"), "tag", F.lit(None).cast(starts.schema["node"].dataType).alias("pred")))
+    rounds = [delta]
     for number in count(1) if max_rounds is None else range(1, max_rounds + 1):
-        ends = state.join(exits, ["pair", "node"]).groupBy("pair").agg(F.min(F.col("g") + F.col("exit_w")).alias("_done"))
-        frontier = state.filter(F.col("round") == number - 1).join(ends, "pair", "left").join(pairs, "pair")
-        frontier = frontier.filter(F.col("_done").isNull() | (F.col("g") < F.col("_done")))
+        known = reduce(DataFrame.unionByName, rounds)
+        if len(rounds) > ROUNDS_A_TABLE:
+            # The last word on a node is its least state: a round adds none that is not less.
+            rounds = [cut_lineage(known.groupBy("pair", "node").agg(F.min(state).alias("s")).select("pair", "node", "s.*"))]
+            known = rounds[0]
+        ends = known.join(exits, ["pair", "node"]).groupBy("pair").agg(F.min(F.col("g") + F.col("exit_w")).alias("_done"))
+        frontier = delta.join(ends, "pair", "left").join(pairs, "pair").filter(F.col("_done").isNull() | (F.col("g") < F.col("_done")))
         ahead = frontier.select(
-            "pair", F.col("node").alias("u"), F.col("g").alias("_g"), F.col("steps").alias("_steps"), "_done",
-            "goal_lat", "goal_lon", "cap", "w_max",
+            "pair", F.col("node").alias("u"), F.col("g").alias("_g"), F.col("n").alias("_n"), "_done", "goal_lat", "goal_lon", "cap", "w_max",
         ).join(links, "u").filter(F.col("w_max").isNull() | (F.col("w") < F.col("w_max")))
-        reach = F.col("_g") + F.col("w")
         remaining = haversine_m(F.col("v_lat"), F.col("v_lon"), F.col("goal_lat"), F.col("goal_lon"))
-        ahead = ahead.withColumn("_reach", reach).filter(F.col("_reach") + remaining <= F.col("cap"))
+        ahead = ahead.withColumn("_reach", F.col("_g") + F.col("w")).filter(F.col("_reach") + remaining <= F.col("cap"))
         ahead = ahead.filter(F.col("_done").isNull() | (F.col("_reach") <= F.col("_done")))
-        steps = F.concat("_steps", F.array("tag"))
         best = ahead.groupBy("pair", F.col("v").alias("node")).agg(
-            F.min(F.struct(F.col("_reach").alias("g"), F.size(steps).alias("n"), steps.alias("steps"))).alias("b"))
-        merged = state.join(best, ["pair", "node"], "full_outer")
-        tie = F.abs(F.col("b.g") - F.col("g")) <= EPSILON_M
-        simpler = F.struct(F.size("b.steps").alias("n"), F.col("b.steps").alias("s")) < F.struct(F.size("steps").alias("n"), F.col("steps").alias("s"))
-        better = F.col("b").isNotNull() & (F.col("g").isNull() | (F.col("b.g") < F.col("g") - EPSILON_M) | (tie & simpler))
-        state = cut_lineage(merged.select(
-            "pair", "node",
-            F.when(better, F.col("b.g")).otherwise(F.col("g")).alias("g"),
-            F.when(better, F.col("b.steps")).otherwise(F.col("steps")).alias("steps"),
-            F.when(better, F.lit(number)).otherwise(F.col("round")).alias("round"),
-        ))
-        if state.filter(F.col("round") == number).isEmpty():
+            F.min(F.struct(F.col("_reach").alias("g"), (F.col("_n") + 1).alias("n"), F.col("tag"), F.col("u").alias("pred"))).alias("b"))
+        held = known.groupBy("pair", "node").agg(F.min(state).alias("s"))
+        met = best.join(held, ["pair", "node"], "left")
+        better = F.col("s").isNull() | (F.col("b.g") < F.col("s.g") - EPSILON_M) | (
+            (F.col("b.g") <= F.col("s.g")) & (F.struct("b.g", "b.n", "b.tag") < F.struct("s.g", "s.n", "s.tag")))
+        delta = cut_lineage(met.filter(better).select("pair", "node", "b.*"))
+        if delta.isEmpty():
             break
-    total = (F.col("g") + F.col("exit_w")).alias("total")
-    done = state.join(exits, ["pair", "node"]).select("pair", "node", "steps", total)
-    best = done.groupBy("pair").agg(F.min(F.struct("total", F.size("steps").alias("n"), "steps", "node")).alias("b"))
-    return best.select("pair", "b.total", "b.steps", "b.node")
+        rounds.append(delta)
+    tree = cut_lineage(reduce(DataFrame.unionByName, rounds).groupBy("pair", "node").agg(F.min(state).alias("s")).select("pair", "node", "s.*"))
+    done = tree.join(exits, ["pair", "node"]).select("pair", "node", "n", (F.col("g") + F.col("exit_w")).alias("total"))
+    best = done.groupBy("pair").agg(F.min(F.struct("total", "n", "node")).alias("b")).select("pair", "b.total", "b.node")
+    best = cut_lineage(best)
+    path = rows_on_paths(tree, best, "pair").select("pair", "n", "tag")
+    return path.join(best, "pair").select("pair", "total", "node", "n", "tag")
 
 
 def segment_lengths(segments: DataFrame, coords: DataFrame) -> DataFrame:
@@ -85,11 +112,11 @@ def refinement_paths(segments: DataFrame, coords: DataFrame, alpha: float = 1.3,
     long_ones = sized.filter(F.col("w") >= min_m)
     pairs = long_ones.select(F.col("segment").alias("pair"), F.col("b_lat").alias("goal_lat"), F.col("b_lon").alias("goal_lon"),
                              (F.col("w") * alpha + slack_m).alias("cap"), F.col("w").alias("w_max"))
-    starts = long_ones.select(F.col("segment").alias("pair"), F.col("a").alias("node"), F.lit(0.0).alias("g"),
-                              F.array().cast("array<string>").alias("steps"))
+    starts = long_ones.select(F.col("segment").alias("pair"), F.col("a").alias("node"), F.lit(0.0).alias("g"), F.lit(None).cast("string").alias("tag"))
     exits = long_ones.select(F.col("segment").alias("pair"), F.col("b").alias("node"), F.lit(0.0).alias("exit_w"))
-    found = relax_paths(pairs, starts, links, exits).filter(F.size("steps") >= 2)
-    return found.select(F.col("pair").alias("segment"), F.posexplode("steps").alias("pos", "link"))
+    found = cut_lineage(relax_paths(pairs, starts, links, exits))
+    chains = found.groupBy("pair").agg(F.max("n").alias("last")).filter("last >= 2").select("pair")
+    return found.filter("n > 0").join(chains, "pair", "left_semi").select(F.col("pair").alias("segment"), (F.col("n") - 1).alias("pos"), F.col("tag").alias("link"))
 
 
 def expand_leaves(paths: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -125,22 +152,25 @@ def bfs_paths(pairs: DataFrame, graph: DataFrame, max_hops: int | None = None) -
     """Path with fewest links per pair of clusters: pair_id, pos, segment; equal ones take the lower predecessor."""
     goals = cut_lineage(pairs.select("pair_id", "a", "b").filter(F.col("a") != F.col("b")))
     links = cut_lineage(graph)
-    seen = cut_lineage(goals.select(F.col("a").alias("start"), F.col("a").alias("node")).distinct().withColumn("path", F.array("node")))
-    frontier = seen
-    for _ in count() if max_hops is None else range(max_hops):
+    node = goals.schema["a"].dataType
+    frontier = cut_lineage(goals.select(F.col("a").alias("start"), F.col("a").alias("node")).distinct().select(
+        "start", "node", F.lit(None).cast(node).alias("pred"), F.lit(0).alias("n")))
+    seen = frontier
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         # starts with every goal reached stop growing
         open_goals = goals.join(seen.select(F.col("start").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti")
         growing = frontier.join(open_goals.select(F.col("a").alias("start")).distinct(), "start", "left_semi")
-        step = growing.select("start", F.col("node").alias("u"), "path").join(links, "u")
-        fresh = step.groupBy("start", F.col("v").alias("node")).agg(F.min_by("path", F.struct("u", "path")).alias("path"))
-        fresh = fresh.join(seen, ["start", "node"], "left_anti")
-        frontier = cut_lineage(fresh.select("start", "node", F.concat("path", F.array("node")).alias("path")))
+        step = growing.select("start", F.col("node").alias("u")).join(links, "u").groupBy("start", F.col("v").alias("node")).agg(F.min("u").alias("pred"))
+        frontier = cut_lineage(step.join(seen, ["start", "node"], "left_anti").withColumn("n", F.lit(hop)))
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier))
-    found = goals.join(seen.select(F.col("start").alias("a"), F.col("node").alias("b"), "path"), ["a", "b"])
-    hops = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: segment_id(F.element_at("path", i), F.element_at("path", i + 1)))
-    return found.select("pair_id", F.posexplode(hops).alias("pos", "segment"))
+        seen = seen.unionByName(frontier)
+        if hop % ROUNDS_A_TABLE == 0:
+            seen = cut_lineage(seen)
+    reached = goals.join(seen.select(F.col("start").alias("a"), F.col("node").alias("b")), ["a", "b"])
+    trees = seen.select(F.col("start").alias("a"), "node", "pred", "n").join(reached.select("a", "pair_id"), "a")
+    path = rows_on_paths(trees, reached.select("pair_id", F.col("b").alias("node")), "pair_id").filter("n > 0")
+    return path.select("pair_id", (F.col("n") - 1).alias("pos"), segment_id(F.col("pred"), F.col("node")).alias("segment"))
 
 
 def chain_edges(chains: DataFrame, refinement: DataFrame, segment_edges: DataFrame,
@@ -257,7 +287,7 @@ def route_pairs(pairs: DataFrame, link_nodes: DataFrame, snap: DataFrame, cluste
                                                (direct * factor + slack_m).alias("cap"), F.lit(None).cast("double").alias("w_max"))
     framed = cut_lineage(framed)
     onto = framed.join(stub.select(F.col("node_id").alias("na"), F.col("end").alias("node"), F.col("w").alias("g"), "tag"), "na")
-    starts = onto.groupBy("pair", "node").agg(F.min(F.struct("g", F.array("tag").alias("steps"))).alias("s")).select("pair", "node", "s.g", "s.steps")
+    starts = onto.groupBy("pair", "node").agg(F.min(F.struct("g", "tag")).alias("s")).select("pair", "node", "s.g", "s.tag")
     exits = framed.join(stub.select(F.col("node_id").alias("nb"), F.col("end").alias("node"), F.col("w").alias("exit_w"), F.col("tag").alias("exit_tag")), "nb")
     best_exit = exits.groupBy("pair", "node").agg(F.min(F.struct("exit_w", "exit_tag")).alias("e")).select("pair", "node", "e.exit_w", "e.exit_tag")
     links = ends.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("length_m").alias("w"), F.col("b_lat").alias("v_lat"),
@@ -266,8 +296,9 @@ def route_pairs(pairs: DataFrame, link_nodes: DataFrame, snap: DataFrame, cluste
                                           F.col("a_lon").alias("v_lon"), F.concat(F.lit("-"), "link_id").alias("tag")))
     bare = framed.select("pair", "goal_lat", "goal_lon", "cap", "w_max")
     found = relax_paths(bare, starts, links, best_exit.select("pair", "node", "exit_w")).join(framed.select("pair", "cap"), "pair")
-    found = found.filter(F.col("total") <= F.col("cap")).join(best_exit.select("pair", "node", "exit_tag"), ["pair", "node"])
-    tagged = found.select("pair", F.posexplode(F.concat("steps", F.array(F.concat(F.lit("!"), "exit_tag")))).alias("step", "tag"))
+    found = cut_lineage(found.filter(F.col("total") <= F.col("cap")))
+    leave = found.groupBy("pair", "node").agg((F.max("n") + 1).alias("step")).join(best_exit.select("pair", "node", "exit_tag"), ["pair", "node"])
+    tagged = found.select("pair", F.col("n").alias("step"), "tag").unionByName(leave.select("pair", "step", F.concat(F.lit("!"), "exit_tag").alias("tag")))
     # read the nodes of each step off its link: whole, from a start stub, or towards an exit stub
     leaving = F.startswith(F.col("tag"), F.lit("!"))
     bare_tag = F.regexp_replace("tag", "^!", "")
