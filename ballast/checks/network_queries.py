@@ -197,3 +197,122 @@ def _(t):
     graph = t.segments.selectExpr("a as u", "b as v").union(t.segments.selectExpr("b as u", "a as v")).distinct()
     pairs = t.segments.select("a").distinct().filter("a<>'c24'").select(F.concat_ws(">", "a", F.lit("c24")).alias("pair_id"), "a", F.lit("c24").alias("b"))
     return R.bfs_paths(pairs, graph).groupBy("pair_id").agg(F.count("*").alias("n"))
+
+
+# Express segments down to leaves: each part that is express itself is opened in turn; shares by length.
+PATHS = "select coarse as segment, ord as pos, fine as link from b_refinement"
+
+
+@query("gr_02_expand_leaves", f"""with recursive p as ({PATHS}), e as (select segment coarse, link, [pos] trail from p union all select e.coarse, p.link, list_append(trail, p.pos) from e join p on p.segment=e.link),
+ leaf as (select * from e where link not in (select segment from p)), w as (select *, 1000e0+ascii(substr(link,3,1))*10+ascii(substr(link,7,1)) w from leaf)
+ select coarse, link fine, round(w/sum(w) over (partition by coarse), 9) fraction, cast(row_number() over (partition by coarse order by trail)-1 as int) ord from w""")
+def _(t):
+    parts = t.sql(PATHS)
+    lengths = parts.select(F.col("link").alias("segment")).distinct().withColumn("w", 1000.0 + F.ascii(F.substring("segment", 3, 1)) * 10 + F.ascii(F.substring("segment", 7, 1)))
+    return R.expand_leaves(parts, lengths).withColumn("fraction", F.round("fraction", 9))
+
+
+CHAINS = "select 'k'||cast(c_custkey as string) as chain_id, i as pos, 'c'||lpad(cast((c_nationkey+i*i*(1+c_custkey%3))%25 as string),2,'0') as cluster from customer{each} where c_custkey%10=1"
+CHAINS_SPARK, CHAINS_DUCK = CHAINS.replace("{each}", " lateral view explode(sequence(0, 3)) e as i"), CHAINS.replace("{each}", ", unnest(generate_series(0, 3)) as e(i)")
+
+
+# Pairs with edges of their own, over their refinement; which of the others are bridged is left to the search.
+@query("gr_04_chain_edges", f"""with c as ({CHAINS_DUCK}), l as (select chain_id, least(cluster, nx)||'|'||greatest(cluster, nx) segment from (select *, lead(cluster) over (partition by chain_id order by pos) nx from c) q where nx is not null and nx<>cluster)
+ select distinct l.chain_id, e.edge from l left join b_refinement r on r.coarse=l.segment join b_segment_edges e on e.segment=coalesce(r.fine, l.segment)""")
+def _(t):
+    chains = t.sql(CHAINS_SPARK).select("chain_id", F.col("pos").cast("int").alias("pos"), "cluster")
+    return R.chain_edges(chains, t.refinement, t.segment_edges)["edges"]
+
+
+# A grid of ways, a row and a column for each of twelve nations; every node is a crossing, so each link joins two neighbours.
+WAYS = "select 'r'||cast(n_nationkey as string) as way_id, transform(sequence(0, 11), j -> cast(n_nationkey*12+j as bigint)) as nodes from nation where n_nationkey<12 union all select 'k'||cast(n_nationkey as string), transform(sequence(0, 11), j -> cast(j*12+n_nationkey as bigint)) from nation where n_nationkey<12"
+RAIL_NODES = "select cast(a.n_nationkey*12+b.n_nationkey as bigint) as node_id, 46e0+a.n_nationkey*3e-2+(a.n_nationkey*b.n_nationkey%7)*1e-3 as lat, 5e0+b.n_nationkey*4e-2+((a.n_nationkey+3)*(b.n_nationkey+5)%11)*1e-3 as lon from nation a join nation b on a.n_nationkey<12 and b.n_nationkey<12"
+RAIL = f"""nd as ({RAIL_NODES}), wy as (select 'r'||i way, i*12+j a, i*12+j+1 b, j p from (select n_nationkey i from nation where n_nationkey<12) x, unnest(generate_series(0, 10)) u(j) union all select 'k'||i, j*12+i, (j+1)*12+i, j from (select n_nationkey i from nation where n_nationkey<12) x, unnest(generate_series(0, 10)) u(j)),
+ lk as (select way, p, a, b, {METRES.format(a='x.lat', b='x.lon', c='y.lat', d='y.lon')} m from wy join nd x on x.node_id=a join nd y on y.node_id=b)"""
+
+
+@query("gr_06_rail_links", f"with {RAIL} select a, b, round(m, 6) length_m from lk")
+def _(t):
+    return R.link_ends(R.rail_links(t.sql(RAIL_NODES), t.sql(WAYS))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("length_m", 6).alias("length_m"))
+
+
+#: Clusters snapped to nodes of the grid.
+SNAP = "select 'c'||lpad(cast(n_nationkey as string),2,'0') as cluster_id, cast((n_nationkey*7%12)*12+n_nationkey*5%11 as bigint) as node_id from nation"
+
+
+# The least total by rounds over all nodes, as lengths; the route's own nodes are added up beside it.
+@query("gr_07_route_pairs", f"""with recursive {RAIL}, arc as (select a u, b v, m from lk union all select b, a, m from lk), sn as ({SNAP}), pr as (select segment, x.node_id na, y.node_id nb from b_segments join sn x on x.cluster_id=a join sn y on y.cluster_id=b where b='c24'),
+ d(segment, node, g) using key (segment, node) as (select segment, na, 0e0 from pr union select d.segment, arc.v, min(d.g+arc.m) from d join arc on arc.u=d.node left join recurring.d o on o.segment=d.segment and o.node=arc.v where o.g is null or d.g+arc.m<o.g-1e-9 group by 1, 2)
+ select d.segment, round(d.g, 3) length_m from d join pr on pr.segment=d.segment and pr.nb=d.node""")
+def _(t):
+    nodes, snap = t.sql(RAIL_NODES), t.sql(SNAP)
+    places = snap.join(nodes, "node_id").select("cluster_id", "lat", "lon")
+    route = R.route_pairs(t.segments.filter("b='c24'"), R.rail_links(nodes, t.sql(WAYS)), snap, places)
+    line = route.join(nodes, "node_id").select(F.col("segment").alias("id"), F.col("pos").alias("seq"), "lat", "lon")
+    return A.polyline_length(line).select(F.col("id").alias("segment"), F.round("length_m", 3).alias("length_m"))
+
+
+# Three tracks that share stretches: on the grid's rows, from a column on; each stretch run by the same ones is an edge.
+RUNS = "select 's'||cast(n_nationkey%5 as string)||'x'||cast(n_regionkey as string) as segment, cast(i as int) as pos, cast(n_regionkey*100+i+n_nationkey%5*3 as bigint) as node_id from nation{each}"
+RUNS_SPARK, RUNS_DUCK = RUNS.replace("{each}", " lateral view explode(sequence(0, 9)) e as i"), RUNS.replace("{each}", ", unnest(generate_series(0, 9)) as e(i)")
+
+
+@query("gr_08_dissolve", f"""with p as (select distinct * from ({RUNS_DUCK})), s as (select node_id u, node_id+1 v, string_agg(segment, ',' order by segment) segs from p where pos<9 group by 1),
+ b as (select *, case when lag(v) over (order by u)=u and lag(segs) over (order by u)=segs then 0 else 1 end fresh from s), k as (select *, sum(fresh) over (order by u) no from b)
+ select min(u) first_node, max(v) last_node, count(*) links, any_value(segs) segments from k group by no""")
+def _(t):
+    out = R.dissolve(t.sql(RUNS_SPARK).distinct())
+    line = out["geometry"].groupBy("edge").agg(F.min("node_id").alias("first_node"), F.max("node_id").alias("last_node"), (F.count("*") - 1).alias("links"))
+    over = out["coverage"].groupBy("edge").agg(F.array_join(F.array_sort(F.collect_set("segment")), ",").alias("segments"))
+    return line.join(over, "edge").drop("edge")
+
+
+# Journeys: one ride, or two with a change; the earliest arrival of each number of rides that is better than fewer.
+DAY_TIMES = "select st.trip_id, cast(st.stop_sequence as int) as seq, s.cluster_id as cluster, st.dep_s from b_stop_times st join b_stops s on s.stop_id=st.stop_id where st.trip_id like '%7'"
+ASKS = "select 'q'||cast(n_nationkey as string) as query_id, 'c'||lpad(cast(n_nationkey as string),2,'0') as origin, 'c'||lpad(cast((n_nationkey+9)%25 as string),2,'0') as destination, 18000+n_nationkey*900 as depart_s from nation"
+
+
+@query("gr_10_earliest_arrivals", f"""with s as ({DAY_TIMES}), q as ({ASKS}), one as (select q.query_id, b.cluster, min(b.dep_s) t from q join s a on a.cluster=q.origin and a.dep_s>=q.depart_s join s b on b.trip_id=a.trip_id and b.seq>a.seq group by 1,2),
+ two as (select o.query_id, b.cluster, min(b.dep_s) t from one o join q on q.query_id=o.query_id join s a on a.cluster=o.cluster and a.dep_s>=o.t+300 join s b on b.trip_id=a.trip_id and b.seq>a.seq group by 1,2),
+ k as (select query_id, 1 round, cluster, t from one union all select query_id, 2, cluster, t from two), g as (select k.query_id, k.round, k.t from k join q on q.query_id=k.query_id and q.destination=k.cluster)
+ select query_id, cast(round as int) round, t arrival_s from g x where not exists (select 1 from g y where y.query_id=x.query_id and y.round<x.round and y.t<=x.t)""")
+def _(t):
+    from ballast.operators.journeys import earliest_arrivals
+
+    return earliest_arrivals(t.sql(ASKS), t.sql(DAY_TIMES), 2)
+
+
+@query("job_08_coverage_report", """with c as (select st.trip_id, string_agg(distinct k.country, '-' order by k.country) corridor, count(distinct k.country) n from b_stop_times st join b_stops s using (stop_id) join b_cluster_country k using (cluster_id) group by 1)
+ select corridor, count(*) filter (t.feed='f0') f0, count(*) filter (t.feed='f1') f1, count(*) filter (t.feed='f2') f2 from c join b_trips t on t.trip_id=c.trip_id where c.n>1 group by 1""")
+def _(t):
+    from ballast.plans.reports import coverage_report
+
+    feeds = ["f0", "f1", "f2"]
+    report = coverage_report(t.stop_times, t.stops.select("stop_id", "cluster_id"), t.trips, t.routes.drop("feed"), t.agency, t.cluster_country, {"a": ["building"]}, feeds)
+    return report["corridors"]
+
+
+@query("ent_02_name_cell_groups", """select feed||':'||stop_id station_id, cast(floor(stop_lat*100+0.5) as bigint) cell_y, cast(floor(stop_lon*100+0.5) as bigint) cell_x, 'town '||nation name_key
+ from (select *, regexp_extract(stop_name, '([0-9]+)', 1) nation from b_stops where stop_code is null) q""")
+def _(t):
+    from ballast.operators.entities import name_cell_groups
+
+    stations = t.stops.select(F.concat_ws(":", "feed", "stop_id").alias("station_id"), "feed", "stop_name", "stop_code", F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
+    return name_cell_groups(stations).select("station_id", "cell_y", "cell_x", "name_key")
+
+
+@query("agg_17_feed_profile", """select 'f1' feed, 'rows' metric, k "key", cast(n as varchar) "value" from (select 'routes' k, count(*) n from b_routes union all select 'trips', count(*) from b_trips union all select 'stops', count(*) from b_stops) q
+ union all select 'f1', 'route_type', route_type, cast(count(*) as varchar) from b_routes group by route_type union all select 'f1', 'horizon', 'calendar', min(start_date)||'-'||max(end_date) from b_calendar""")
+def _(t):
+    tables = {"routes": t.routes, "trips": t.trips, "stops": t.stops, "calendar": t.calendar}
+    return A.feed_profile(tables, "f1").filter("metric not like 'column%'")
+
+
+@query("snk_04_append_observations", "select service_date \"day\", count(*) n, count(distinct seq) seqs from b_poll group by 1")
+def _(t):
+    from ballast.checks.streaming_queries import poll
+
+    folder = f"{checkpoint_root(t.spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    archive.append_observations(poll(t).select("seq", "ts", "trip_id"), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    log = t.spark.read.parquet(f"{folder}/log")
+    return log.groupBy(F.date_format(F.col("day").cast("date"), "yyyyMMdd").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("seq").alias("seqs"))

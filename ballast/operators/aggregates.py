@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions.geo import haversine_m, segment_id
 from ballast.operators.joins import refine, to_edges
-from ballast.operators.sequence_tools import at_instants, beside, present
+from ballast.operators.sequence_tools import at_instants, beside, first_rows, numbered, present
 
 TRAIN = ["country", "trip_id", "service_date"]
 SEVERITY_RANK = {"closed": 3, "intl": 2, "reduced": 1}
@@ -339,11 +339,10 @@ def works_by_edge(groups: DataFrame) -> DataFrame:
 def station_frequency(patterns: DataFrame, tier_a: int = 80) -> DataFrame:
     """Trips calling at each cluster, busiest first, with polling tier.
 
-    A cluster met twice in a pattern counts twice. Ranks are global, hence computed on the
-    per-cluster totals only.
+    A cluster met twice in a pattern counts twice. Ranks are global, hence numbered by ranges of the per-cluster totals.
     """
     totals = patterns.groupBy(F.col("cluster").alias("cluster_id")).agg(F.sum("n_trips").alias("n_trips"))
-    ranked = totals.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_trips"), "cluster_id")))
+    ranked = numbered(totals, [F.desc("n_trips"), F.col("cluster_id").asc()], "rank").withColumn("rank", F.col("rank").cast("int"))
     return ranked.withColumn("tier", F.when(F.col("rank") <= tier_a, "A").otherwise("B"))
 
 
@@ -371,8 +370,7 @@ def top_series(intl: DataFrame, routes: DataFrame, agency: DataFrame, k: int = 8
 
 def stratified_sample(df: DataFrame, category: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """At most k rows per category in seeded pseudo-random order."""
-    along = Window.partitionBy(category).orderBy(F.xxhash64(F.lit(seed), key), key)
-    return df.withColumn("pick", F.row_number().over(along)).filter(F.col("pick") <= k)
+    return first_rows(df, category, [F.xxhash64(F.lit(seed), key), F.col(key)], k, "pick")
 
 
 def pattern_links(patterns: DataFrame, pair_edges: DataFrame) -> DataFrame:

@@ -20,13 +20,13 @@ def earliest_arrivals(queries: DataFrame, stop_times_on_day: DataFrame, max_roun
     destination are dropped.
     """
     times = cut_lineage(stop_times_on_day.filter(F.col("dep_s").isNotNull()).select("trip_id", "seq", "cluster", "dep_s"))
-    goals = queries.select("query_id", "destination")
+    goals = queries.select(F.col("query_id").alias("_q"), "destination")
     best = cut_lineage(queries.select("query_id", F.col("origin").alias("cluster"), F.col("depart_s").cast("int").alias("arr"), F.lit(0).alias("round")))
     results = None
     for number in count(1) if max_rounds is None else range(1, max_rounds + 1):
         ready = F.col("arr") + F.lit(0 if number == 1 else transfer_s)
-        target = best.join(goals, (best["query_id"] == goals["query_id"]) & (best["cluster"] == goals["destination"])).select(
-            best["query_id"], F.col("arr").alias("_limit"))
+        target = best.join(goals, (F.col("query_id") == F.col("_q")) & (F.col("cluster") == F.col("destination"))).select(
+            F.col("_q").alias("query_id"), F.col("arr").alias("_limit"))
         reached = best.filter(F.col("round") == number - 1).select("query_id", "cluster", ready.alias("ready")).join(target, "query_id", "left")
         catch = reached.join(times, "cluster").filter((F.col("dep_s") >= F.col("ready")) & (F.col("_limit").isNull() | (F.col("dep_s") < F.col("_limit"))))
         boarded = catch.groupBy("query_id", "trip_id", "_limit").agg(F.min("seq").alias("_from"))
@@ -38,8 +38,8 @@ def earliest_arrivals(queries: DataFrame, stop_times_on_day: DataFrame, max_roun
             "query_id", "cluster", F.when(better, F.col("_new")).otherwise(F.col("arr")).alias("arr"),
             F.when(better, F.lit(number)).otherwise(F.col("round")).alias("round")))
         improved = best.filter(F.col("round") == number)
-        hit = improved.join(goals, (improved["query_id"] == goals["query_id"]) & (improved["cluster"] == goals["destination"])).select(
-            improved["query_id"], F.col("round"), F.col("arr").alias("arrival_s"))
+        hit = improved.join(goals, (F.col("query_id") == F.col("_q")) & (F.col("cluster") == F.col("destination"))).select(
+            "query_id", "round", F.col("arr").alias("arrival_s"))
         results = hit if results is None else results.unionByName(hit)
         if improved.isEmpty():
             break

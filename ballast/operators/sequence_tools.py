@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballast.session import cut_lineage
+
+
 def day_chunk(col: str = "ts") -> Column:
     return F.floor(F.col(col) / 86400).cast("bigint")
 
@@ -62,6 +65,27 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     return joined.select(*df.columns, total.alias(name))
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Add the row's number, from 1, in the order of all rows: each range is numbered on its own, after the rows of those before it."""
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Written once, so that the ids stay: their upper bits are the range, the lower 33 the place in it.
+    placed = cut_lineage(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    sizes = placed.groupBy(F.shiftright("_id", 33).alias("_range")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shuffle partition
+    bases = F.broadcast(sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")))
+    place = F.col("_base") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.withColumn("_range", F.shiftright("_id", 33)).join(bases, "_range").select(*df.columns, place.alias(name))
+
+
+def first_rows(df: DataFrame, group: str, order: Sequence[Column], k: int, name: str, parts: int = 64) -> DataFrame:
+    """The first k rows of each group with their rank; a group of any size is cut into ``parts`` first, each of which keeps k."""
+    part = Window.partitionBy(group, "_part").orderBy(*order)
+    salted = df.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))  # which part a row falls into does not matter
+    few = salted.withColumn(name, F.row_number().over(part)).filter(F.col(name) <= k).drop("_part", name)
+    return few.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col(name) <= k)
+
+
 def at_instants(events: DataFrame, as_of: DataFrame | int, seconds: int, ts: str = "ts") -> DataFrame:
     """Events no older than ``seconds`` at an instant, once per instant they belong to.
 
