@@ -63,7 +63,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+    return centroid_clusters(table(spark, sf_dir, "embeddings")).drop("fetched")
 
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +75,4 @@ def op13_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_phrase_dedup, op3_html_extraction, op4_minhash_dedup, op5_vector_packing, op6_fingerprints, op7_token_counts, op8_lattice_dedup, op9_toxicity, op10_suffix_dedup, op11_centroid_clustering, op12_conversation_repair, op13_feistel_sharding)}
-ORACLES = {"op2_phrase_dedup": oracles.PHRASES, "op4_minhash_dedup": oracles.NEAR, "op8_lattice_dedup": oracles.VECTORS, "op10_suffix_dedup": oracles.BYTES}
+ORACLES = {"op2_phrase_dedup": oracles.PHRASES, "op4_minhash_dedup": oracles.NEAR, "op8_lattice_dedup": oracles.VECTORS, "op10_suffix_dedup": oracles.BYTES, "op11_centroid_clustering": oracles.CENTROIDS, "op12_conversation_repair": oracles.REPAIR, "op13_feistel_sharding": oracles.SHARDS}
