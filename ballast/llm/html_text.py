@@ -30,11 +30,20 @@ ROLES = re.compile(r"""\brole\s*=\s*["']?(navigation|banner|contentinfo|compleme
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notice\w*|alert\w*|popup\w*|modal|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|sidebars?|side|widgets?|footer\w*|header|masthead|comments?|disqus|replies|reply|respond|related|recommend\w*|share|sharing|social|tags|pagination|pager|toolbar|search|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notice\w*|alert\w*|popup\w*|modal|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|sidebars?|side|widgets?|footer\w*|header|masthead|comments?(?:list|area|body|form|thread|box|section|wrap\w*)?|disqus\w*|replies|reply|respond|related|recommend\w*|share|sharing|social|tags|pagination|pager|toolbar|search|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
-PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<?[^<]*", re.S)
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(.*)>$", re.S)
+PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<?[^<]*", re.S)
+#: A tag: quotes delimit a value only behind its equals sign; nothing is tried twice, so a scan is linear.
+OPENS = re.compile(r"</?[a-zA-Z]")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S)
+BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: Names that are boilerplate outside an article; inside, only whole class or id words of elements that are no text element count.
+WEAK = frozenset("search side social header tags legal skip menu banner login signup reply respond widget".split())
+#: Names that no wrapper of an article has: such an element needs a heading or an article inside to be let in again.
+HARD = re.compile(r"(?:^|[\s_-])(?:footer\w*|copyright|comments?\w*|disqus\w*|cookies?|consent|gdpr|breadcrumbs?|pagination|pager|related|newsletter|legal|disclaimer)(?:$|[\s_-])", re.I)
+#: Levels of a tree; elements that are nested deeper stand side by side on the last one.
+DEPTH = 256
 #: Class and id words that say what an element has, not what it is.
 HAS = re.compile(r"\S*?(?<![^\s_-])(?:has|with|without|no)[_-]\S*", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？]")
@@ -45,20 +54,25 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    """An element; ``boiler`` if it or one above is boilerplate for certain, ``named`` the nearest that is so by its name only."""
+    """An element; ``boiler`` if it or one above is boilerplate for certain, ``named`` the nearest that is so by its name only,
+    ``hard`` if its name is one of ``HARD``.
 
-    __slots__ = ("tag", "parent", "boiler", "named")
+    ``opener`` is the element that was open when it began, ``parent`` the one above it in the tree, ``main`` the outermost article
+    or main element, ``path`` the number of its tag path, ``link`` whether it is or stands in one.
+    """
 
-    def __init__(self, tag: str, parent: Node | None, boiler: bool, named: bool = False):
-        self.tag, self.parent, self.boiler = tag, parent, boiler or (parent is not None and parent.boiler)
-        self.named = self if named else parent.named if parent else None
+    __slots__ = ("tag", "opener", "parent", "depth", "boiler", "named", "hard", "main", "path", "link")
 
-    def path(self) -> str:
-        names, node = [], self
-        while node:
-            names.append(node.tag)
-            node = node.parent
-        return "/".join(reversed(names))
+    def __init__(self, tag: str, opener: Node | None, boiler: bool, named: str, paths: dict[tuple, int]):
+        self.tag, self.opener = tag, opener
+        self.parent = opener.parent if opener and opener.depth >= DEPTH else opener
+        above = self.parent
+        self.depth = above.depth + 1 if above else 0
+        self.boiler = boiler or (opener is not None and opener.boiler)
+        self.named, self.hard = self if named else opener.named if opener else None, named == "hard"
+        self.main = (opener.main if opener else None) or (self if tag in MAIN else None)
+        self.link = tag == "a" or (opener is not None and opener.link)
+        self.path = paths.setdefault((above.path if above else -1, tag), len(paths))
 
 
 def is_boiler(tag: str, attributes: str) -> bool:
@@ -69,68 +83,98 @@ def is_boiler(tag: str, attributes: str) -> bool:
     return bool(ROLES.search(attributes) or HIDDEN.search(attributes))
 
 
-def is_named(tag: str, attributes: str) -> bool:
-    """Whether a class or an id names boilerplate."""
+def is_named(tag: str, attributes: str, inside: bool = False) -> str:
+    """"hard" or "soft" if a class or an id names boilerplate, else "". Inside an article weak names count only as whole words
+    of elements that are no text element: a paragraph on search or a part on social science is the article's own."""
     if not attributes or tag in MAIN or tag in ("body", "html"):
-        return False
-    return any(BOILER.search(HAS.sub(" ", x or y or z)) for x, y, z in NAMED.findall(attributes))
+        return ""
+    kind = ""
+    for x, y, z in NAMED.findall(attributes):
+        value = HAS.sub(" ", x or y or z)
+        if inside:
+            words = value.split()
+            value = " ".join(w for w in words if w.lower() not in WEAK and not any(part in WEAK for part in re.split("[_-]", w.lower())))
+            if tag not in TEXTUAL and any(w.lower() in WEAK for w in words):
+                kind = "soft"
+        if BOILER.search(value):
+            kind = "soft"
+            if HARD.search(value):
+                return "hard"
+    return kind
 
 
 def text_nodes(page: str) -> Iterator[tuple[Node, str, bool]]:
     """(element, raw text, whether a block border comes before) in page order, of what can be seen at all."""
-    at, node, broken = 0, Node("", None, False), True
-    size = len(page)
+    paths: dict[tuple, int] = {}
+    at, node, broken = 0, Node("", None, False, "", paths), True
+    size, tags = len(page), TAG
+    opened: dict[str, int] = {}  # how many elements of a name are open
     while at < size:
-        match = PIECE.match(page, at)
-        piece = match.group()
-        if not piece:
-            break
-        at = match.end()
-        if piece[0] != "<" or not (tag := TAG.match(piece)):
-            if piece[0] == "<" and piece[1:2] in ("!", "?"):
-                continue
-            if piece[0] == "<" and re.match(r"</?[a-zA-Z]", piece) and at >= size and ">" not in piece:
-                break  # a tag that the page's end cuts off
-            yield node, piece, broken
-            broken = False
+        if not OPENS.match(page, at):
+            match = PIECE.match(page, at)
+            piece = match.group()
+            if not piece:
+                break
+            at = match.end()
+            if piece[0] != "<" or piece[1:2] not in ("!", "?"):
+                yield node, piece, broken
+                broken = False
             continue
+        tag = tags.match(page, at)
+        if not tag and tags is TAG:
+            # A quote that never ends: from here on tags end at the next sign that closes one.
+            tags = BARE_TAG
+            tag = tags.match(page, at)
+        if not tag:
+            break  # a tag that the page's end cuts off
+        at = tag.end()
         name, attributes = tag[2].lower(), tag[3]
         broken = broken or name not in INLINE
         if tag[1]:
-            found = node
-            while found.parent and found.tag != name:
+            found = node if opened.get(name) else None
+            while found and found.opener and found.tag != name:
                 if name in INLINE and found.tag not in INLINE:
                     found = None
                     break
-                found = found.parent
-            if found and found.parent:
-                node = found.parent
+                found = found.opener
+            if found and found.opener:
+                node = close(node, found.opener, opened)
             continue
         if name in RAW and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
         if name in CLOSES_P or name in CLOSES:
-            while node.tag in INLINE and node.parent:  # a formatting element that was left open ends with its block
-                node = node.parent
+            while node.tag in INLINE and node.opener:  # a formatting element that was left open ends with its block
+                node = close(node, node.opener, opened)
             closing, scopes = CLOSES.get(name, ("p",)), SCOPES.get(name, ())
-            found = node
-            while found.parent and found.tag not in closing and found.tag not in scopes and (name in CLOSES or found.tag in INLINE):
-                found = found.parent
-            if found.parent and found.tag in closing:
-                node = found.parent
+            found = node if any(opened.get(c) for c in closing) else None
+            steps = 0
+            while found and found.opener and steps < DEPTH and found.tag not in closing and found.tag not in scopes and (name in CLOSES or found.tag in INLINE):
+                found, steps = found.opener, steps + 1
+            if found and found.opener and found.tag in closing:
+                node = close(node, found.opener, opened)
         if name in VOID or attributes.endswith("/"):
             continue
-        node = Node(name, node, is_boiler(name, attributes), is_named(name, attributes))
+        node = Node(name, node, is_boiler(name, attributes), is_named(name, attributes, node.main is not None), paths)
+        opened[name] = opened.get(name, 0) + 1
 
 
-def path_scores(blocks: list[tuple[str, int, int]], spread: float = 1.0) -> dict[str, float]:
+def close(node: Node, upto: Node, opened: dict[str, int]) -> Node:
+    """Close the open elements from ``node`` up to, but not, ``upto``."""
+    while node is not upto:
+        opened[node.tag] -= 1
+        node = node.opener
+    return upto
+
+
+def path_scores(blocks: list[tuple[int | str, int, int]], spread: float = 1.0) -> dict[int | str, float]:
     """Of (path, characters, punctuation) of text nodes: each path's smoothed and fused ratio.
 
     Length and punctuation of a path are divided by the root of its number of nodes, so that many short nodes count
     little; paths stand in the order of their first nodes and are smoothed with a Gaussian.
     """
-    total: dict[str, list[float]] = {}
+    total: dict[int | str, list[float]] = {}
     for path, chars, marks in blocks:
         x = total.setdefault(path, [0, 0, 0])
         x[0] += chars
@@ -165,7 +209,7 @@ class Block:
     @property
     def main(self) -> Node | None:
         """The outermost article or main element around it."""
-        return next((n for n in reversed(self.above) if n.tag in MAIN), None)
+        return self.home.main
 
 
 def blocks_of(pieces: list[tuple[Node, str, bool]], released: set[Node]) -> tuple[list[Block], set[int]]:
@@ -186,7 +230,7 @@ def blocks_of(pieces: list[tuple[Node, str, bool]], released: set[Node]) -> tupl
         if text and first is None:
             after.add(len(blocks))
         elif text:
-            linked = sum(len(" ".join(raw.split())) for node, raw in parts if any(n.tag == "a" for n in lineage(node)))
+            linked = sum(len(" ".join(raw.split())) for node, raw in parts if node.link)
             blocks.append(Block(first, text, linked, known))
     return blocks, after
 
@@ -202,9 +246,10 @@ def dropped(node: Node, released: set[Node]) -> bool:
 
 def values(blocks: list[Block]) -> list[float]:
     """The score of each block's path. An article element is the page's own word for where its text is: paths outside it have none."""
-    scores = path_scores([("/".join(n.tag for n in reversed(b.above)), len(b.text), len(PUNCTUATION.findall(b.text))) for b in blocks])
+    scores = path_scores([(b.home.path, len(b.text), len(PUNCTUATION.findall(b.text))) for b in blocks])
     mains = [b.main is not None for b in blocks]
-    return [scores["/".join(n.tag for n in reversed(b.above))] if inside or not any(mains) else 0.0 for b, inside in zip(blocks, mains, strict=True)]
+    marked = any(mains)
+    return [scores[b.home.path] if inside or not marked else 0.0 for b, inside in zip(blocks, mains, strict=True)]
 
 
 def release(pieces: list[tuple[Node, str, bool]], share: float) -> set[Node]:
@@ -236,6 +281,8 @@ def release(pieces: list[tuple[Node, str, bool]], share: float) -> set[Node]:
         for node, held in inside.items():
             if node in released or dropped(node.parent, released):
                 continue
+            if node.hard and not any(b.main or any(n.tag == "h1" for n in b.above) for b in held):
+                continue
             value = best[node] if not marked or any(b.main for b in held) else 0.0
             if share * value > limit or (sole[node] and not marked and value >= share * limit):
                 fit.append((sole[node] and not marked, value, node))

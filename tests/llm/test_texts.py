@@ -1,9 +1,11 @@
 """Mixing, HTML text, packing, fingerprints, token counts and toxicity against brute force and the libraries."""
 
 import hashlib
+import math
 import os
 import random
 import sys
+import time
 import zlib
 from collections import defaultdict
 
@@ -16,7 +18,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 from helpers import awkward, documents, prose, words  # noqa: E402
 
 from ballast.llm.fingerprints import fingerprints
-from ballast.llm.html_text import extract, main_text
+from ballast.llm.html_text import extract, main_text, path_scores
 from ballast.llm.mixing import mix, mixed, permuted, shard_slots
 from ballast.llm.token_counts import count_tokens
 from ballast.llm.toxicity import swapped, toxicity
@@ -138,6 +140,52 @@ def test_main_text_keeps_captions_and_formulas():
     assert main_text(page) == f"{text} Figure one. Since x=1 holds."
 
 
+ARTICLE = "<html><body><article><h1>Title</h1><p>" + "Some long text, with marks. " * 20 + "</p>"
+READERS = "<li>A reader, who wrote a long comment, with marks. " * 9
+
+
+@pytest.mark.parametrize("page, want", [
+    (ARTICLE + "</article><ol class=\"commentlist\">" + READERS + "</ol></body>", "Title " + ("Some long text, with marks. " * 20).strip()),
+    (ARTICLE + "<ol class=commentlist>" + READERS + "</ol></article>", "Title " + ("Some long text, with marks. " * 20).strip()),
+    ("<article><p title=it's>One, here it is.</p><p class=\"x\" \">Two, there.</p></article>", "One, here it is. Two, there."),
+    ("<body><div class=content><p>Hi</p><p>Short text.</p></div><div class=footer>Copyright 2020, all rights reserved, by the publisher, and others, everywhere.</div>", "Hi Short text."),
+    ("<article><h1>T</h1><p class=search>On search, a text.</p><div class=\"social-science\"><p>On science.</p></div><div class=social>Share it</div></article>", "T On search, a text. On science."),
+    ("<article><p>Text, it is.</p><p class=ad>Buy!</p><div class='related'>More</div></article>", "Text, it is."),
+])
+def test_names_and_broken_tags(page, want):
+    assert main_text(page) == want
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 20_000 + "text, here" + "</div>" * 20_000, "".join(f"<div>t{i}, " for i in range(20_000)), '<a "' * 262_144, '<a ="' * 200_000,
+    "<div>" * 20_000 + "</x>" * 20_000 + "z" + "</p>" * 20_000, "<ul>" + "<li>a<div>" * 20_000, "<a =' <b =\" " * 80_000 + ">",
+])
+def test_deep_and_broken_pages_take_linear_time(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 6  # about two seconds on a quiet machine
+
+
+def plain_scores(blocks):
+    """The path scores as their definition says them, path by path."""
+    paths = list(dict.fromkeys(p for p, _, _ in blocks))
+    ratio = {p: [sum(b[k] for b in blocks if b[0] == p) / math.sqrt(sum(b[0] == p for b in blocks)) for k in (1, 2)] for p in paths}
+    out = {}
+    for i, p in enumerate(paths):
+        weights = {q: math.exp(-((j - i) ** 2) / 2) for j, q in enumerate(paths) if abs(j - i) <= 2}
+        smooth = [sum(w * ratio[q][k] for q, w in weights.items()) / sum(weights.values()) for k in (0, 1)]
+        out[p] = math.sqrt((ratio[p][0] + smooth[0]) / 2) * (1 + math.log(1 + (ratio[p][1] + smooth[1]) / 2))
+    return out
+
+
+def test_path_scores_against_their_definition():
+    rng = random.Random(8)
+    for _ in range(40):
+        blocks = [(f"p{rng.randrange(7)}", rng.randrange(300), rng.randrange(12)) for _ in range(rng.randrange(1, 40))]
+        got, want = path_scores(blocks), plain_scores(blocks)
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "y"), (2, "v", "<p>" + "long text, " * 30_000, "z")], "page_id long, url string, html string, text string")
     rows = extract(pages).collect()
