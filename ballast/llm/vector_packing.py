@@ -140,7 +140,14 @@ class Packer:
         self.needs = np.vstack([self.needs, (tokens, 1, loss)])
 
     def _place(self, most: int) -> Iterator[tuple]:
-        """One sequence of at most ``most`` tokens from what waits: (key, start, tokens, sequence, offset)."""
+        """One sequence of at most ``most`` tokens from what waits: (key, start, tokens, sequence, offset).
+
+        Where as many pieces as may be are too short to fill it, it is closed at a power of two, which needs no padding.
+        """
+        segments = self.limits.segments
+        if self.cut and len(self.keys) > segments:
+            within = int(np.partition(self.needs[:, 0], -segments)[-segments:].sum())
+            most = min(most, 1 << (within.bit_length() - 1))
         left = self.full.copy()
         left[0] = most
         offset, live = 0, np.ones(len(self.keys), bool)
