@@ -21,7 +21,13 @@ from ballast.llm.common import stored
 IDENTITY = tuple(
     "women men woman man girl boy gay straight lesbian heterosexual transgender cisgender black white asian latino african european "
     "muslim christian jewish hindu buddhist atheist catholic protestant immigrant native refugee citizen deaf blind disabled autistic "
-    "old young elderly teenage mexican american chinese russian arab turkish".split()
+    "old young elderly teenage mexican american chinese russian arab turkish "
+    "frauen männer frau mann mädchen junge schwul hetero lesbisch heterosexuell schwarze weiße muslimisch christlich jüdisch evangelisch "
+    "behindert gesund türkisch deutsch arabisch russisch flüchtlinge einheimische "
+    "femmes hommes femme homme fille garçon homosexuel hétérosexuel noirs blancs musulman chrétien juif catholique handicapé valide "
+    "immigré autochtone arabe français africain européen "
+    "mujeres hombres mujer hombre niña niño homosexual heterosexuales negros blancos musulmán cristiano judío católico discapacitado sano "
+    "inmigrante nativo árabe español africano europeo".split()
 )
 WORD = re.compile(r"\w+")
 #: Letters of a word's beginning that are features too, for words longer than that.
@@ -93,7 +99,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: tuple
             })
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id")
-    rows = stored(texts.select("toxic", "text").mapInArrow(both, "toxic int, own array<string>, twin array<string>").dropDuplicates(["own"]))
+    rows = texts.select("toxic", "text").mapInArrow(both, "toxic int, own array<string>, twin array<string>")
+    # Equal texts count once, with the label that most of them have (harmless where as many have the other).
+    rows = stored(rows.groupBy("own").agg((F.sum("toxic") * 2 > F.count("*")).cast("int").alias("toxic"), F.max("twin").alias("twin")).select("toxic", "own", "twin"))
     size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows at most
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n0 or not n1:

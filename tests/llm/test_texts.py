@@ -21,7 +21,7 @@ from ballast.llm.fingerprints import fingerprints
 from ballast.llm.html_text import extract, main_text, path_scores
 from ballast.llm.mixing import mix, mixed, permuted, shard_slots
 from ballast.llm.token_counts import count_tokens
-from ballast.llm.toxicity import swapped, toxicity
+from ballast.llm.toxicity import IDENTITY, swapped, toxicity, train
 from ballast.llm.vector_packing import Limits, pack_documents, pack_examples, word_ids
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +77,21 @@ def test_mix_repeats_and_nothing(spark):
     assert mix(documents(spark, [])).count() == 0 and mix(documents(spark, [None, ""])).filter("taken = 0 and target = 0").count() == 2
 
 
+def test_equal_texts_count_with_the_label_of_most(spark):
+    texts = ["you vile stupid liar now"] * 9 + ["a calm walk by the lake"] * 9 + [f"you vile stupid liar {i}" for i in range(40)] + [f"calm walk {i} by the lake" for i in range(40)]
+    toxic = [1] * 6 + [0] * 3 + [0] * 5 + [1] * 4 + [1] * 40 + [0] * 40
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1][: len(texts)]
+    labels = spark.createDataFrame(list(zip(ids, toxic, strict=True)), "doc_id long, toxic int")
+    models = [train(documents(spark, texts, ids).repartition(n), labels) for n in (1, 7)]
+    assert models[0] == models[1] and models[0][0]["vile"] > 0 > models[0][0]["calm"]
+
+
+def test_swaps_in_four_languages():
+    for text, other in (("the Women sang", "the men sang"), ("die Frauen sangen", "die männer sangen"), ("les femmes chantent", "les hommes chantent"), ("las mujeres cantan", "las hombres cantan")):
+        assert swapped(text) == other
+    assert swapped("nobody here") is None and len(IDENTITY) % 2 == 0 and len(set(IDENTITY)) == len(IDENTITY)
+
+
 def test_permutation_and_draw():
     for n in (1, 2, 3, 64, 1000, 4097):
         assert sorted(permuted(np.arange(n), n, 5)) == list(range(n))
@@ -221,6 +236,17 @@ def test_pack_documents(spark):
     assert pack_documents(documents(spark, []), WORD_BPE).count() == 0
 
 
+@pytest.mark.parametrize("words_each", [1, 4, 9])
+def test_many_short_texts_are_packed_with_little_padding(spark, words_each):
+    rng = random.Random(words_each)
+    texts = [" ".join(rng.choice("red blue green one two three".split()) for _ in range(rng.randrange(1, words_each + 1))) for _ in range(4000)]
+    held = defaultdict(int)
+    for r in pack_documents(documents(spark, texts).coalesce(2), WORD_BPE).collect():
+        held[r.sequence_id] += r.length
+    padding = sum(2048 - n for n in held.values() if n & (n - 1))
+    assert padding <= 0.05 * sum(held.values())
+
+
 def test_pack_examples_under_three_limits(spark):
     rng, limits = random.Random(4), Limits(1000, 5, 400)
     rows = [(f"e{i}", rng.randrange(1, 600), rng.randrange(0, 300)) for i in range(300)] + [("big", 5000, 10), ("none", None, None)]
