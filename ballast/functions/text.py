@@ -122,7 +122,7 @@ def nearby_city(lat: Column, lon: Column) -> Column:
 
 #: A timetable name's parts: line kind, city letter, head, what follows its comma, what stands in brackets.
 NAME_PARTS = r"^(?:(S\+U|S|U)\s+|(D)-)?([^,(]+?)(?:\s*,\s*([^(]+?))?(?:\s*\((.+)\))?(?:\s+S)?$"
-#: Other ways to write what a name holds; each adds to the spellings found so far.
+# Other ways to write what a name holds; each adds to the spellings found so far.
 SPELLINGS = (
     ("Hauptbahnhof", "Hbf"), (r"([Ss])tr\.", "$1traße"), (r"\s(?:Bf|Bhf)$", ""), (r"(?<!aupt)[ -]?[Bb]ahnhof$", ""),
     (r"\s*\(([^)]*)\)\s*", "($1)"), (r"\s*\([^)]*\)\s*", " "),

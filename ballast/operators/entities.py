@@ -109,8 +109,10 @@ def fuzzy_station_match(left: DataFrame, right: DataFrame, threshold: float = 0.
     A similarity of t needs t * longer length letters in common, whatever their order. Of each compact name, its letters
     (the second "a" is another than the first) stand by how few right names have them; two names that share that many meet
     in the first n - t * n + 1 of both. Names without a Latin letter or digit meet by their words. Equal names are
-    compared once. A threshold of 0 or less compares all.
+    compared once. The threshold must be above 0: at 0 every name is a candidate of every other.
     """
+    if threshold <= 0:
+        raise ValueError("the threshold must be above 0")
     def letters(df: DataFrame, side: str) -> DataFrame:
         words = F.array_distinct(F.filter(F.split(normalize_name(F.col("name")), "[^\\p{L}\\p{N}]+"), lambda w: w != ""))
         signs = F.split(F.col("c"), "")
@@ -131,8 +133,6 @@ def fuzzy_station_match(left: DataFrame, right: DataFrame, threshold: float = 0.
 
     near = F.least("l_n", "r_n") >= F.greatest("l_n", "r_n") * F.lit(threshold) - F.lit(1e-9)
     pairs = rarest(lefts, "l").join(rarest(rights, "r"), "token").filter(near).select("l_name", "r_name").distinct()
-    if threshold <= 0:
-        pairs = lefts.select("l_name").distinct().crossJoin(rights.select("r_name").distinct())
     scored = pairs.withColumn("similarity", name_similarity(F.col("l_name"), F.col("r_name")))
     best = scored.groupBy("l_name").agg(F.min_by(F.struct("r_name", "similarity"), F.struct((-F.col("similarity")).alias("s"), "r_name")).alias("b"))
     best = best.filter(F.col("b.similarity") >= threshold).select("l_name", "b.*")

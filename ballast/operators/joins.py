@@ -134,11 +134,14 @@ def _interval_distance() -> F.Column:
 def attribute_passages(passages: DataFrame, trains: DataFrame) -> DataFrame:
     """Row of the train whose observation span is nearest to the passage; ties take the lower row.
 
-    A trip has one row per service date still in the window, which bounds the join's fan-out.
+    A trip has one row per service date still in the window, which bounds the join's fan-out. Passages that are equal in
+    every column stay as many as they are.
     """
     spans = trains.select("country", "trip_id", "row_id", "first_ts", "last_ts")
-    near = passages.join(spans, ["country", "trip_id"]).withColumn("_distance", _interval_distance())
-    return near.groupBy(*passages.columns).agg(F.min_by("row_id", F.struct("_distance", "row_id")).alias("row_id"))
+    counted = passages.groupBy(*passages.columns).agg(F.count("*").alias("_times"))
+    near = counted.join(spans, ["country", "trip_id"]).withColumn("_distance", _interval_distance())
+    best = near.groupBy(*passages.columns, "_times").agg(F.min_by("row_id", F.struct("_distance", "row_id")).alias("row_id"))
+    return best.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_times"))).select(*passages.columns, "row_id")
 
 
 def synthesize_on_time(plan: DataFrame, changes: DataFrame, as_of: int, past: int = 2700) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.functions.text import LANGUAGES, closed_pairs, is_international, normalize_name, preferred_text
+from ballast.functions.text import LANGUAGES, closed_pairs, is_international, normalize_name, preferred_text, severity
 from ballast.functions.time import iso_epoch, latest_end, local_minute
 from ballast.operators.entities import name_dictionary
 from ballast.operators.filters import relevant_disruptions
@@ -49,7 +49,7 @@ def works_from_sections(disruptions: DataFrame, station_codes: DataFrame, cluste
     closed = shut.join(edges, "chain_id").select("disruption_id", "edge")
     whole = section.join(ends.filter(~resolved), "disruption_id", "left_semi").select("disruption_id", "edge")
     marked = split_edges(section, closed.union(whole)).join(flags, "disruption_id").join(live.select("disruption_id", "title", "end"), "disruption_id")
-    sev = F.when(F.col("closed"), "closed").when(F.col("_intl"), "intl").otherwise("reduced")
+    sev = severity(F.col("closed"), F.col("_intl"))
     until = local_minute(iso_epoch(F.nullif(F.col("end"), F.lit(""))))
     return marked.select(
         F.concat_ws(":", F.lit(src), F.col("disruption_id").cast("string"), F.when(F.col("closed"), "0").otherwise("1")).alias("group_seq"),
