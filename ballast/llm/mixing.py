@@ -8,7 +8,7 @@ for each pass over the source), and blocks meet their slots in a join by number.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +50,9 @@ def permuted(index: np.ndarray, size: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_slots(slots: int, shards: int, shard: int, seed: int) -> tuple[int, int]:
-    """First slot and number of slots of one shard of a multinomial draw over equal shards.
+def shard_slots(slots: int, shards: int, shard: int, seed: int, bounds: Callable[[int], int] = int) -> tuple[int, int]:
+    """First slot and number of slots of one shard of a multinomial draw over equal shards, or of one range of them that
+    ``bounds`` tells the borders of.
 
     The draw is taken by halving the shards, a binomial each time, so any task finds its own shard's part alone.
     """
@@ -59,7 +60,7 @@ def shard_slots(slots: int, shards: int, shard: int, seed: int) -> tuple[int, in
     while high - low > 1:
         middle = (low + high) // 2
         draw = np.random.default_rng([seed, low, high])
-        left = int(draw.binomial(slots, (middle - low) / (high - low)))
+        left = int(draw.binomial(slots, (bounds(middle) - bounds(low)) / (bounds(high) - bounds(low))))
         if shard < middle:
             slots, high = left, middle
         else:
@@ -217,9 +218,13 @@ def draws(targets: DataFrame, block: int, seed: int) -> DataFrame:
     shard's counts by source are a multinomial draw, and a source's slots over all shards are those of its target.
     """
     slots = targets.agg(F.sum(F.floor("target") / block + 3)).first()[0] or 0
-    shards = targets.filter("source_size > 0").withColumn("shards", F.lit(max(1, -int(-slots // SHARD_SLOTS))).cast("long"))
-    shards = shards.withColumn("shard", F.explode(F.expr("sequence(0L, shards - 1)")))
-    shards = shards.repartition(F.col("source"), F.col("shard"))
+    shards = max(1, -int(-slots // SHARD_SLOTS))
+    # A source's part of the draw comes in ranges of shards of about as many slots each, however many sources there are.
+    ranges = F.least(F.lit(shards), F.ceil((F.floor("target") / block + 3) / SHARD_SLOTS)).cast("long")
+    ranged = targets.filter("source_size > 0").withColumn("ranges", ranges).withColumn("range", F.explode(F.expr("sequence(0L, ranges - 1)")))
+    # Rows are few and small but make many: a number that Spark does not lower.
+    tasks = max(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // 64)
+    ranged = ranged.repartition(tasks, "source", "range")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +234,14 @@ def draws(targets: DataFrame, block: int, seed: int) -> DataFrame:
                 # Of the last pass as many slots as its words need; the very last slot takes only what is missing.
                 last = -(-rest // block)
                 key = zlib.crc32(repr((row["source"], seed)).encode())
-                first, count = shard_slots(passes * n_blocks + last, row["shards"], row["shard"], key)
+                parts, part = row["ranges"], row["range"]
+
+                def bounds(i: int, parts: int = parts) -> int:
+                    return i * shards // parts
+
+                first, count = shard_slots(passes * n_blocks + last, parts, part, key, bounds)
+                low, high = bounds(part), bounds(part + 1)
+                counts = np.random.default_rng([key, part, 1]).multinomial(count, np.full(high - low, 1 / (high - low)))
                 slot = np.arange(first, first + count)
                 number, within = slot // n_blocks, slot % n_blocks
                 index = np.zeros(count, np.int64)
@@ -238,9 +250,9 @@ def draws(targets: DataFrame, block: int, seed: int) -> DataFrame:
                 words_taken = np.full(count, block, np.int64)
                 words_taken[slot == passes * n_blocks + last - 1] = rest - block * (last - 1) if last else block
                 yield pa.record_batch({
-                    "source": pa.array([row["source"]] * count, pa.string()), "shard": pa.array(np.full(count, row["shard"])), "slot": pa.array(slot),
+                    "source": pa.array([row["source"]] * count, pa.string()), "shard": pa.array(np.repeat(np.arange(low, high), counts)), "slot": pa.array(slot),
                     "pass": pa.array(number), "index": pa.array(index), "words": pa.array(words_taken),
                 })
 
-    return shards.mapInArrow(run, "source string, shard long, slot long, pass long, index long, words long")
+    return ranged.mapInArrow(run, "source string, shard long, slot long, pass long, index long, words long")
 
