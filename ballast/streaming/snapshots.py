@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -15,7 +15,7 @@ LOG = "kind string, seq long, ts long, segment string, trip_id string, delta_s i
 
 
 class Publisher:
-    """Writes each batch into the log and the snapshot of its minute beside it, both under the batch's number.
+    """Writes each batch into the log, by hour and batch, and the snapshot of its minute beside it, under the batch's number.
 
     A batch that runs again overwrites its own folders and reads no later ones, so it adds nothing and gives the same lines.
     The snapshot's instant is the full minute after the batch's latest row; the log is read for the longest window before it.
@@ -28,13 +28,17 @@ class Publisher:
     def __call__(self, batch: DataFrame, number: int) -> None:
         # A batch's session is a copy of the stream's; the static tables belong to the latter.
         spark = next(iter(self.statics.values())).sparkSession
-        batch.write.mode("overwrite").parquet(f"{self.folder}/log/batch={number}")
-        last = spark.read.schema(LOG).parquet(f"{self.folder}/log/batch={number}").agg(F.max("ts")).first()[0]
-        if last is None:
+        seen = Observation()
+        placed = batch.observe(seen, F.max("ts").alias("last")).withColumns({"hour": F.expr("ts div 3600"), "batch": F.lit(number)})
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(f"{self.folder}/log")
+        if (last := seen.get["last"]) is None:
             return
         as_of = (last // 60 + 1) * 60
-        log = spark.read.schema(f"{LOG}, batch int").parquet(f"{self.folder}/log")
-        log = log.filter((F.col("batch") <= number) & (F.col("ts") >= as_of - max(self.delay_window_s, self.blockade_window_s)))
+        since = as_of - max(self.delay_window_s, self.blockade_window_s)
+        hours = ",".join(str(hour) for hour in range(since // 3600, last // 3600 + 1))
+        # Only the folders of the window's hours are listed, however long the log is; that of the last row is there.
+        reader = spark.read.schema(f"{LOG}, hour long, batch int").option("basePath", f"{self.folder}/log")
+        log = reader.parquet(f"{self.folder}/log/hour={{{hours}}}").filter((F.col("batch") <= number) & (F.col("ts") >= since))
         parts = {kind: log.filter(F.col("kind") == kind) for kind in ("delta", "cancel", "passage")}
         lines = minute_snapshot(parts["delta"], parts["cancel"], parts["passage"], as_of=as_of, delay_window_s=self.delay_window_s,
                                 blockade_window_s=self.blockade_window_s, **self.statics)
