@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Tables that ``stored`` wrote and nobody has deleted, by the path of each.
-_tables: dict[str, SparkSession] = {}
+#: Tables that ``stored`` wrote and nobody has deleted, by the path of each: the session, and whether a ``scratch`` block wrote it.
+_tables: dict[str, tuple[SparkSession, bool]] = {}
+_blocks: list[bool] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables stored inside serve what is made there only; ``release`` may delete them once that is written."""
+    _blocks.append(True)
+    try:
+        yield
+    finally:
+        _blocks.pop()
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -37,7 +49,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _tables[path] = spark
+    _tables[path] = (spark, bool(_blocks))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,18 +62,18 @@ def discard(*tables: DataFrame) -> None:
 
 
 def delete(path: str) -> None:
-    spark = _tables.pop(path)
+    spark, _ = _tables.pop(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def release(spark: SparkSession, docs: DataFrame) -> None:
-    """Between stages: delete every stored table but those that ``docs`` reads, and let Spark clean up finished shuffles.
+    """Between stages: delete the tables of ``scratch`` blocks but those that ``docs`` reads, and let Spark clean up finished shuffles.
 
-    For callers that have written what the stage before gave, so that ``docs`` alone is still to be read. Shuffle files
-    go when the driver no longer holds the plans they belong to.
+    For callers that have written what the stages before gave. Shuffle files go when the driver no longer holds the plans
+    they belong to.
     """
-    mine = [path for path, owner in _tables.items() if owner is spark]
+    mine = [path for path, (owner, inner) in _tables.items() if owner is spark and inner]
     if mine:
         read = {part for file in docs.inputFiles() for part in file.split("/") if part.startswith("llm-")}
         for path in mine:

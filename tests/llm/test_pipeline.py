@@ -65,6 +65,26 @@ def test_run_is_the_stages(spark, corpus):
     assert made.columns[:3] == ["doc_id", "start", "length"] and made.count() > 50
 
 
+def test_empty_tables_pass_all_stages(spark, tmp_path):
+    documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_leave_the_tables_of_others(spark, corpus, tmp_path):
+    path, _, _ = corpus
+    from ballast.llm.phrase_dedup import phrase_dedup
+
+    docs = corpus_pipeline.table(spark, path, "documents")
+    own = phrase_dedup(docs)  # lazy: reads what it stored when it is asked
+    kept = corpus_pipeline.near_dedup(spark, docs, path)
+    kept.write.parquet(f"{tmp_path}/kept")
+    passed = corpus_pipeline.passage_dedup(spark, spark.read.parquet(f"{tmp_path}/kept"), path)
+    assert passed.count() == spark.read.parquet(f"{tmp_path}/kept").count() and own.count() == docs.count()
+    first, second = corpus_pipeline.run(spark, path), corpus_pipeline.run(spark, path)
+    assert first.count() == second.count() > 50
+
+
 def test_repeats_and_null_ids_stay_once(spark, tmp_path):
     rng = random.Random(2)
     a, b, c, d, e, f = (prose(rng, 90) for _ in range(6))
