@@ -7,11 +7,14 @@ on their way, but for what ``docs`` is read from: their results are written by t
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm.common import release, stored, table
+from ballast.llm.common import discard, release, scratch, stored, table
 from ballast.llm.minhash import near_duplicates
 from ballast.llm.mixing import mixed
 from ballast.llm.suffix_dedup import suffix_dedup
@@ -19,8 +22,22 @@ from ballast.llm.toxicity import add_score, train
 from ballast.llm.vector_packing import pack_documents
 
 THRESHOLD = 0.7
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def staged(stage: Stage) -> Stage:
+    """The stage, which first deletes what stages before it stored on their way."""
+
+    @functools.wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, docs)
+        with scratch():
+            return stage(spark, docs, sf_dir)
+
+    return begun
 
 
+@staged
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose whole text scores below the threshold; the classifier is learnt from the labelled ones."""
     model = train(docs, table(spark, sf_dir, "labels"))
@@ -28,13 +45,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return add_score(docs, model, score).filter(F.col(score) < THRESHOLD).drop(score)
 
 
+@staged
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group that links of 0.8 on five-word shingles hold together: that of the least id, null ids last.
 
     Rows are told apart by a number of their own, so rows that repeat, share an id or have none are copies like others. Of
     equal ids the least hash of text and other columns stays. A null or empty text links with nothing and stays.
     """
-    release(spark, docs)
     names = free_names(docs, "_row", "_hash")
     row, mark = (F.col(c) for c in names)
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
@@ -56,25 +73,25 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return [next(n for n in (name + "_" * i for i in range(len(taken) + 1)) if n not in taken) for name in names]
 
 
+@staged
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that strings found elsewhere cover; one that loses all of them stays, with an empty text."""
-    release(spark, docs)
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     kept = suffix_dedup(docs, text=True, carry=rest)
     made = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")} | {c: F.col(f"_c{i}") for i, c in enumerate(rest)}
     return kept.select(*[made[c].alias(c) for c in docs.columns])
 
 
+@staged
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources mixed to their targets: a row for each time that words of a document are taken."""
-    release(spark, docs)
     made = mixed(docs)
     return made.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
+@staged
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2,048 tokens."""
-    release(spark, docs)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -87,5 +104,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        discard(before)  # only what was stored here, not the given table
     return STAGES[-1][1](spark, docs, sf_dir)
