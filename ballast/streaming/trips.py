@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
-from ballast.streaming.changes import DELAY, gathered, timed, use_state_store
+from ballast.streaming.changes import DELAY, gathered, in_bucket, plain, timed, use_state_store
 
 #: A stop of a trip that no poll has named for this long is no neighbour any more.
 STOP_UNSEEN_S = 4 * 3600
@@ -24,7 +24,8 @@ class Neighbours(StatefulProcessor):
     """The known stops of a trip by index; each update gives its pairs with the nearest known stops before and after it.
 
     A stop counts while it was seen within ``unseen_s`` of the update, by the data's clock; a timer at the earliest end frees
-    the stops that the watermark has left behind, one by one.
+    the stops that the watermark has left behind. The group is a bucket of trips: its state, a row a stop, is read and
+    written once a batch.
     """
 
     def __init__(self, unseen_s: int | None, columns: Sequence[str]):
@@ -32,33 +33,42 @@ class Neighbours(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.stops = handle.getMapState("stops", "idx int", f"{_STOP_TYPES}, ts long")
-
-    def wake(self, known: dict[int, tuple]) -> None:
-        if self.unseen_s is None:
-            return
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if known:
-            self.handle.registerTimer((min(stop[-1] for stop in known.values()) + self.unseen_s + 1) * 1000)
+        self.stops = handle.getListState("stops", f"head string, idx int, {_STOP_TYPES}, ts long")
+
+    def trips(self) -> dict[str | None, dict[int, tuple]]:
+        known: dict[str | None, dict[int, tuple]] = {}
+        for head, idx, *stop in self.stops.get():
+            known.setdefault(head, {})[idx] = tuple(stop)
+        return known
+
+    def keep(self, trips: dict[str | None, dict[int, tuple]], timerValues) -> None:
+        """Remember what the watermark has left, and wake when the next of it ends."""
+        rows = [(head, idx, *stop) for head, known in trips.items() for idx, stop in known.items()]
+        if self.unseen_s is not None:
+            now = timerValues.getCurrentWatermarkInMs() // 1000  # whatever comes is later
+            rows = [row for row in rows if now - row[-1] <= self.unseen_s]
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if rows:
+                self.handle.registerTimer((min(row[-1] for row in rows) + self.unseen_s + 1) * 1000)
+        if rows:
+            self.stops.put(rows)
+        else:
+            self.stops.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = gathered(rows, ["ts", "seq"])
-        known = {k[0]: tuple(v) for k, v in self.stops.iterator()}
-        out, touched = [], set()
-        for row in frame[["seq", "ts", "idx", *STOP]].astype(object).where(frame[["seq", "ts", "idx", *STOP]].notna(), None).itertuples(index=False, name=None):
-            seq, ts, idx, *stop = row
+        trips, out = self.trips(), []
+        for seq, ts, head, idx, *stop in zip(*[plain(frame[c]) for c in ("seq", "ts", "head", "idx", *STOP)], strict=True):
             idx, ts = int(idx), int(ts)
+            known = trips.setdefault(head, {})
             known[idx] = (*self.cleaned(stop), ts)
-            touched.add(idx)
             near = [i for i in known if i != idx and (self.unseen_s is None or ts - known[i][-1] <= self.unseen_s)]
             before, after = max((i for i in near if i < idx), default=None), min((i for i in near if i > idx), default=None)
             for a, b in ((before, idx), (idx, after)):
                 if a is not None and b is not None and known[a][1] != known[b][1]:
-                    out.append((key[0], int(seq), ts, a, *known[a][:-1], b, *known[b][1:-1]))
-        for idx in touched:
-            self.stops.updateValue((idx,), known[idx])
-        self.wake(known)
+                    out.append((head, int(seq), ts, a, *known[a][:-1], b, *known[b][1:-1]))
+        self.keep(trips, timerValues)
         yield pd.DataFrame(out, columns=self.columns)
 
     @staticmethod
@@ -67,12 +77,7 @@ class Neighbours(StatefulProcessor):
         return label, cluster, None if delay_s is None else int(delay_s), None if event_ts is None else int(event_ts), service_date, bool(cancelled)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() // 1000  # whatever comes is later
-        known = {k[0]: tuple(v) for k, v in self.stops.iterator()}
-        for idx in [i for i, stop in known.items() if now - stop[-1] > self.unseen_s]:
-            self.stops.removeKey((idx,))
-            del known[idx]
-        self.wake(known)
+        self.keep(self.trips(), timerValues)
         return iter([])
 
     def close(self) -> None:
@@ -92,9 +97,10 @@ def stream_trip_neighbours(updates: DataFrame, unseen_s: int | None = STOP_UNSEE
     use_state_store(updates.sparkSession)
     schema = StructType.fromDDL(PAIRS)
     rows = updates.select("seq", F.col("ts").cast("long").alias("ts"), "head", F.col("idx").cast("int").alias("idx"), *STOP)
+    rows = rows.withColumn("bucket", in_bucket(["head"]))
     rows = rows if unseen_s is None else timed(rows, delay)
     mode = "None" if unseen_s is None else "EventTime"
-    return rows.groupBy("head").transformWithStateInPandas(Neighbours(unseen_s, schema.fieldNames()), schema, "Append", mode)
+    return rows.groupBy("bucket").transformWithStateInPandas(Neighbours(unseen_s, schema.fieldNames()), schema, "Append", mode)
 
 
 def stream_planned(updates: DataFrame, slices: DataFrame, ttl_s: int = SLICE_TTL_S, delay: str = DELAY) -> DataFrame:
