@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ballast.streaming.changes import Changes
+from ballast.streaming.changes import Changes, drained, latest_panes, stream_edge_panes
 from ballast.streaming.trips import Neighbours, PAIRS
 
 
@@ -73,3 +73,20 @@ def test_trips_share_the_calls_of_their_group():
     assert pairs["head"].tolist() == [f"t{i}" for i in range(300)] and handle.calls < 10 and len(handle.rows) == 600
     stops.handleExpiredTimer((1,), At(1101), None)
     assert handle.rows == [] and handle.timers == []
+
+
+def test_open_panes_are_given_out_too(spark, tmp_path):
+    rows = [(1000, "s", 5), (1001, "s", 5), (5000, "s", 7)]
+    edges = spark.createDataFrame([("s", "E1")], "segment string, edge string")
+    spark.createDataFrame(rows[:1], "ts long, segment string, delta_s int").coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    spark.createDataFrame(rows[1:], "ts long, segment string, delta_s int").coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    stream = spark.readStream.schema("ts long, segment string, delta_s int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    panes = latest_panes(drained(stream_edge_panes(stream, edges), "update")).collect()
+    assert sorted((r.pane_end, r.edge, r.delta_s, r.n) for r in panes) == [(1020, "E1", 5, 2), (5040, "E1", 7, 1)]
+
+
+def test_edge_windows_reach_the_last_observation():
+    from ballast.registry import ORACLES, load_all
+
+    load_all()
+    assert "as_of<" not in ORACLES["str_06_edge_windows"]
