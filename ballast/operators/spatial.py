@@ -46,14 +46,22 @@ def sample_polyline(geometry: DataFrame, every_m: float = 250.0) -> DataFrame:
 
 
 def overlapping_edges(samples: DataFrame, near_m: float = 150.0, min_share: float = 0.6, min_points: int = 1) -> DataFrame:
-    """Edge pairs where most sample points of the lower id lie beside the other edge."""
+    """Edge pairs where most sample points of the lower id lie beside the other edge.
+
+    Points of an edge at the same places count together, and a place of the other edge is met once, so that places meet, however
+    many points lie at each.
+    """
     sizes = samples.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_points)
-    mine = grid_cells(samples.join(sizes, "id").withColumnsRenamed({"id": "edge_a"}), size=OVERLAP_CELL, reach_m=near_m)
-    other = grid_cells(samples.select(F.col("id").alias("edge_b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")),
+    places = samples.groupBy("id", "pos").agg(F.array_sort(F.collect_set(F.struct("lat", "lon"))).alias("places"))
+    alike = places.groupBy("id", "places").agg(F.count("*").alias("_points")).join(sizes, "id").withColumnRenamed("id", "edge_a")
+    spots = alike.withColumn("_place", F.explode("places")).select("edge_a", "n", "places", "_points", "_place.lat", "_place.lon")
+    mine = grid_cells(spots, size=OVERLAP_CELL, reach_m=near_m)
+    other = grid_cells(samples.select(F.col("id").alias("edge_b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")).distinct(),
                        "b_lat", "b_lon", size=OVERLAP_CELL)
     distance = haversine_m(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon"))
     beside_it = mine.join(other, ["cell_y", "cell_x"]).filter((F.col("edge_a") < F.col("edge_b")) & (distance <= near_m))
-    hits = beside_it.select("edge_a", "n", "pos", "edge_b").distinct().groupBy("edge_a", "edge_b", "n").agg(F.count("*").alias("_h"))
+    met = beside_it.select("edge_a", "n", "places", "_points", "edge_b").distinct()
+    hits = met.groupBy("edge_a", "edge_b", "n").agg(F.sum("_points").alias("_h"))
     share = F.col("_h") / F.col("n")
     return hits.filter(share >= min_share).select("edge_a", "edge_b", share.alias("share"))
 
