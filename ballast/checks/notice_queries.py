@@ -151,7 +151,8 @@ def _(t):
  select distinct k, "name" from v""")
 def _(t):
     rows = t.sql("select s_suppkey as k, 'Ort'||cast(s_nationkey as string)||case s_suppkey%3 when 0 then ' Hauptbahnhof' when 1 then '' else ' Bf' end as name from supplier")
-    return rows.select("k", F.explode(name_variants(F.col("name"), F.lit(0.0), F.lit(0.0))).alias("name")).distinct()
+    each = rows.select("name").distinct().select(F.col("name").alias("own"), F.explode(name_variants(F.col("name"), F.lit(0.0), F.lit(0.0))).alias("name"))
+    return rows.withColumnRenamed("name", "own").join(each, "own").select("k", "name").distinct()
 
 
 ROUTES = "select seq as alert_id, array(named_struct('lang', 'nl', 'text', 'Town-'||cast(seq%20 as string)||' - nergens'), named_struct('lang', 'fr', 'text', 'Town-'||cast(seq%20 as string)||' - Town-'||cast((seq+3)%20 as string)||' - rien - Town-'||cast((seq+1)%23 as string))) as texts from b_poll where event_type='signup'"

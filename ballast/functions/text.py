@@ -130,7 +130,11 @@ SPELLINGS = (
 
 
 def _respelled(names: Column, pattern: str, out: str) -> Column:
-    return F.transform(F.filter(names, lambda v: v.rlike(pattern)), lambda v: F.regexp_replace(v, pattern, out))
+    """The names and what a spelling makes of them. The names are bound once: written out twice, each spelling would double the work."""
+    def both(known: Column) -> Column:
+        return F.array_union(known, F.transform(F.filter(known, lambda v: v.rlike(pattern)), lambda v: F.regexp_replace(v, pattern, out)))
+
+    return F.transform(F.array(names), both)[0]
 
 
 def name_variants(name: Column, lat: Column, lon: Column) -> Column:
@@ -150,7 +154,7 @@ def name_variants(name: Column, lat: Column, lon: Column) -> Column:
     alone = F.when(line.isNotNull() | tail.isNotNull(), place)
     found = F.filter(F.array(name, alone, *joined), lambda v: v.isNotNull())
     for pattern, out in SPELLINGS:
-        found = F.array_union(found, _respelled(found, pattern, out))
+        found = _respelled(found, pattern, out)
     tidy = F.transform(found, lambda v: F.trim(F.regexp_replace(v, r"\s+", " ")))
     return F.array_distinct(F.filter(tidy, lambda v: v != ""))
 
