@@ -16,7 +16,7 @@ from ballast.operators import spatial as X
 from ballast.plans import inspection as I
 from ballast.plans.closures import planned_closures
 from ballast.registry import query
-from ballast.session import checkpoint_root
+from ballast.session import checkpoint_root, cut_lineage
 from ballast.sinks import archive, export
 from ballast.sinks.documents import artifact_lines, write_artifacts
 
@@ -87,8 +87,10 @@ LINKS = PATTERNS + f""", po as (select * from pos where pattern_id like '%77'),
 
 
 def selection(t):
-    own = t.segments.select("segment", F.col("segment").alias("edge")).union(t.refinement.select("fine", "fine")).distinct()
-    return patterns(t).filter("pattern_id like '%77'"), t.sql(SELECTED), A.pair_edges(t.segments, t.refinement, own)
+    # Few rows from all calls of all trips: they are worked out once.
+    segments, refinement = cut_lineage(t.segments), cut_lineage(t.refinement)
+    own = segments.select("segment", F.col("segment").alias("edge")).union(refinement.select("fine", "fine")).distinct()
+    return patterns(t).filter("pattern_id like '%77'"), t.sql(SELECTED), A.pair_edges(segments, refinement, own)
 
 
 @query("win_14_static_edge_coverage", LINKS + " select edge from cov")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ballast.functions.geo import haversine_m, segment_id
 from ballast.operators.joins import refine, to_edges
 from ballast.operators.sequence_tools import at_instants, beside, first_rows, numbered, present
+from ballast.session import cut_lineage
 
 TRAIN = ["country", "trip_id", "service_date"]
 SEVERITY_RANK = {"closed": 3, "intl": 2, "reduced": 1}
@@ -394,12 +395,21 @@ def observed_span(patterns: DataFrame, stations: DataFrame) -> DataFrame:
     return chosen.groupBy("pattern_id").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
 
 
+def _laid_out(patterns: DataFrame, stations: DataFrame, pair_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Patterns, the edges of their links and their observed spans, each worked out once: patterns come from all calls of all trips."""
+    patterns = cut_lineage(patterns)
+    return patterns, cut_lineage(pattern_links(patterns, pair_edges)), observed_span(patterns, stations)
+
+
+def _between(links: DataFrame, spans: DataFrame) -> DataFrame:
+    inside = (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")) & F.col("edge").isNotNull()
+    return links.join(spans, "pattern_id").filter(inside).select("edge").distinct()
+
+
 def static_edge_coverage(patterns: DataFrame, stations: DataFrame, pair_edges: DataFrame) -> DataFrame:
     """Edges between the outermost selected stations of any pattern."""
-    spans = observed_span(patterns, stations)
-    links = pattern_links(patterns, pair_edges).join(spans, "pattern_id")
-    inside = (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")) & F.col("edge").isNotNull()
-    return links.filter(inside).select("edge").distinct()
+    _, links, spans = _laid_out(patterns, stations, pair_edges)
+    return _between(links, spans)
 
 
 def marginal_gain(patterns: DataFrame, stations: DataFrame, pair_edges: DataFrame) -> DataFrame:
@@ -408,15 +418,15 @@ def marginal_gain(patterns: DataFrame, stations: DataFrame, pair_edges: DataFram
     A candidate widens a pattern's span by the links between the span and its own outermost
     positions; links meet candidates by pattern and side, and only uncovered edges take part.
     """
-    spans = observed_span(patterns, stations)
-    covered = static_edge_coverage(patterns, stations, pair_edges)
+    patterns, links, spans = _laid_out(patterns, stations, pair_edges)
+    covered = _between(links, spans)
     chosen = stations.select(F.col("cluster_id").alias("cluster"))
     reach = (
         patterns.join(chosen, "cluster", "left_anti")
         .groupBy("pattern_id", "cluster").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
         .join(spans, "pattern_id")
     )
-    links = pattern_links(patterns, pair_edges).filter(F.col("edge").isNotNull()).join(covered, "edge", "left_anti")
+    links = links.filter(F.col("edge").isNotNull()).join(covered, "edge", "left_anti")
     met = links.select("pattern_id", "pos", "edge").join(reach, "pattern_id")
     before = (F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("lo"))
     after = (F.col("pos") >= F.col("hi")) & (F.col("pos") < F.col("last"))
@@ -426,9 +436,9 @@ def marginal_gain(patterns: DataFrame, stations: DataFrame, pair_edges: DataFram
 
 def pattern_opening_value(patterns: DataFrame, stations: DataFrame, pair_edges: DataFrame) -> DataFrame:
     """Expected coloured edges of opening a pattern without any selected station."""
-    spans = observed_span(patterns, stations)
-    covered = static_edge_coverage(patterns, stations, pair_edges)
-    fresh = pattern_links(patterns, pair_edges).join(spans, "pattern_id", "left_anti")
+    _, links, spans = _laid_out(patterns, stations, pair_edges)
+    covered = _between(links, spans)
+    fresh = links.join(spans, "pattern_id", "left_anti")
     new = fresh.filter(F.col("edge").isNotNull()).join(covered, "edge", "left_anti")
     counted = new.select("pattern_id", "n_trips", "edge").distinct().groupBy("pattern_id", "n_trips").agg(F.count("*").alias("_e"))
     duty = F.least(F.lit(1.0), F.col("n_trips") * COLOURED_MINUTES / SERVICE_MINUTES)
