@@ -30,8 +30,8 @@ UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ľ]+|[0-9]|[^a-zß-öø-
 #: Byte-level vocabularies write each byte as a sign that can be seen: Latin-1's own signs, the rest from 256 on.
 _SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SHOWN = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SEEN)))}
-#: Distinct words whose ids a task remembers before it starts anew.
-REMEMBERED = 300_000
+#: Distinct words, and distinct units of words, whose ids a task remembers before it starts anew.
+REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -68,11 +68,11 @@ class WordIds:
     """
 
     def __init__(self, encode: Callable[[str], list[int]], merge: Callable[[str], list[int]]):
-        self.encode, self.merge = encode, merge
+        self.encode, self.merge, self.units = encode, merge, {}
         self.clear()
 
     def clear(self) -> None:
-        self.codes, self.units = Codes(), {}
+        self.codes = Codes()
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
@@ -82,6 +82,9 @@ class WordIds:
         return ids
 
     def of_word(self, word: str) -> list[int]:
+        if word.isascii() and word.isalpha():  # one unit
+            text = word.lower()
+            return self.units[text] if text in self.units else self.unit(text)
         if not PLAIN.fullmatch(word) or "<|" in word:
             return self.encode(word)
         known, out = self.units, []
@@ -105,6 +108,8 @@ class WordIds:
         """The ids of each text."""
         if len(self.codes) > REMEMBERED:
             self.clear()
+        if len(self.units) > REMEMBERED:
+            self.units.clear()
         found = [text_words(text) for text in texts]
         at = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
         if self.codes.new:
