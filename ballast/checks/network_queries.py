@@ -71,7 +71,7 @@ def _(t):
  select 'edges' "name", edge "key", '["'||row_id||'",'||delta_s||','||ts||']' json from near""")
 def _(t):
     folder = f"{checkpoint_root(t.spark).rstrip('/')}/artifacts-{uuid.uuid4().hex}"
-    table = trains(t)
+    table = cut_lineage(trains(t))  # read by all three kinds of lines
     out = I.edge_activity(t.seg_obs, t.cancels, t.segment_edges, table, AS_OF, WEEK)
     details = t.spark.createDataFrame([], "country string, trip_id string, service_date string, part int, ord long, name string, arr string, dep string, delay_s int")
     works = t.spark.createDataFrame([], "edge string, d string, hour_start int, hour_end int")
