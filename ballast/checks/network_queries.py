@@ -80,31 +80,32 @@ def _(t):
 
 
 SELECTED = "select cluster_id from b_clusters where cluster_id in ('c03','c14')"
-# Edges of every link of every hundredth pattern (each segment an edge of its own, so that some stay uncovered), and the outermost selected places.
-LINKS = PATTERNS + f""", po as (select * from pos where pattern_id like '%77'), ln as (select pattern_id, n_trips, pos, least(cluster, nx)||'|'||greatest(cluster, nx) segment from (select *, lead(cluster) over (partition by pattern_id order by pos) nx from po) q where nx is not null),
+HUNDREDTH = "pattern_id like '%77'"
+# Edges of every link of the patterns (each segment an edge of its own, so that some stay uncovered), and the outermost selected places.
+LINKS = PATTERNS + f""", po as (select * from pos{{}}), ln as (select pattern_id, n_trips, pos, least(cluster, nx)||'|'||greatest(cluster, nx) segment from (select *, lead(cluster) over (partition by pattern_id order by pos) nx from po) q where nx is not null),
  le as (select distinct ln.pattern_id, ln.n_trips, ln.pos, coalesce(r.fine, ln.segment) edge from ln left join b_refinement r on r.coarse=ln.segment),
  sp as (select pattern_id, min(pos) lo, max(pos) hi from po where cluster in ({SELECTED}) group by 1), cov as (select distinct edge from le join sp using (pattern_id) where pos>=lo and pos<hi)"""
 
 
-def selection(t):
+def selection(t, which="true"):
     # Few rows from all calls of all trips: they are worked out once.
     segments, refinement = cut_lineage(t.segments), cut_lineage(t.refinement)
     own = segments.select("segment", F.col("segment").alias("edge")).union(refinement.select("fine", "fine")).distinct()
-    return patterns(t).filter("pattern_id like '%77'"), t.sql(SELECTED), A.pair_edges(segments, refinement, own)
+    return patterns(t).filter(which), t.sql(SELECTED), A.pair_edges(segments, refinement, own)
 
 
-@query("win_14_static_edge_coverage", LINKS + " select edge from cov")
+@query("win_14_static_edge_coverage", LINKS.format(f" where {HUNDREDTH}") + " select edge from cov")
 def _(t):
-    return A.static_edge_coverage(*selection(t))
+    return A.static_edge_coverage(*selection(t, HUNDREDTH))
 
 
-@query("win_15_marginal_gain", LINKS + f""" , re as (select p.pattern_id, p.cluster, min(p.pos) f, max(p.pos) l from po p where p.cluster not in ({SELECTED}) group by 1,2)
+@query("win_15_marginal_gain", LINKS.format(f" where {HUNDREDTH}") + f""" , re as (select p.pattern_id, p.cluster, min(p.pos) f, max(p.pos) l from po p where p.cluster not in ({SELECTED}) group by 1,2)
  select cluster cluster_id, count(distinct le.edge) gain from re join sp using (pattern_id) join le using (pattern_id) where ((le.pos>=f and le.pos<lo) or (le.pos>=hi and le.pos<l)) and le.edge not in (select edge from cov) group by 1""")
 def _(t):
-    return A.marginal_gain(*selection(t))
+    return A.marginal_gain(*selection(t, HUNDREDTH))
 
 
-@query("win_16_pattern_opening_value", LINKS + f""" select le.pattern_id, least(1e0, any_value(n_trips)*{A.COLOURED_MINUTES}/{A.SERVICE_MINUTES}::double)*count(distinct edge) "value" from le where pattern_id not in (select pattern_id from sp) and edge not in (select edge from cov) group by 1""")
+@query("win_16_pattern_opening_value", LINKS.format("") + f""" select le.pattern_id, least(1e0, any_value(n_trips)*{A.COLOURED_MINUTES}/{A.SERVICE_MINUTES}::double)*count(distinct edge) "value" from le where pattern_id not in (select pattern_id from sp) and edge not in (select edge from cov) group by 1""")
 def _(t):
     return A.pattern_opening_value(*selection(t))
 
