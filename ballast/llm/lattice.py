@@ -8,20 +8,23 @@ compared in double precision, so no pair below the limit is linked.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import stored
+from ballast.llm.common import discard, stored
 from ballast.llm.components import components
 from ballast.llm.hashing import U64, mix
+from ballast.session import setting
 
 #: Of pairs with a cosine of 0.9 these find over 99 in 100, and of those above 0.93 all but one in thousands.
 TABLES, BLOCKS, PROBES, SCALE = 16, 3, 6, 0.85
+#: Tables whose cells and pairs are on disk at once.
+TABLES_A_ROUND = 1
 
 
 def nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -59,12 +62,12 @@ def projections(size: int, seed: int) -> np.ndarray:
     return np.stack(made)
 
 
-def cells(vectors: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Of unit vectors: the cell in each table (rows, TABLES), and all cells to look into (rows, TABLES, 1 + BLOCKS * PROBES)."""
-    own = np.empty((len(vectors), TABLES), U64)
-    look = np.empty((len(vectors), TABLES, 1 + BLOCKS * PROBES), U64)
+def cells(vectors: np.ndarray, seed: int = 5, tables: Sequence[int] = range(TABLES)) -> tuple[np.ndarray, np.ndarray]:
+    """Of unit vectors: the cell in each table (rows, tables), and all cells to look into (rows, tables, 1 + BLOCKS * PROBES)."""
+    own = np.empty((len(vectors), len(tables)), U64)
+    look = np.empty((len(vectors), len(tables), 1 + BLOCKS * PROBES), U64)
     salt = mix(np.arange(1, 1 + 8 * BLOCKS * TABLES, dtype=U64) * U64(0x9E3779B97F4A7C15)).reshape(TABLES, BLOCKS, 8) | U64(1)
-    for t in range(TABLES):
+    for at, t in enumerate(tables):
         parts, others = [], []
         for b in range(BLOCKS):
             x = vectors @ projections(vectors.shape[1], seed)[t * BLOCKS + b] / SCALE
@@ -75,10 +78,10 @@ def cells(vectors: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
             parts.append(((2 * point).astype(np.int64).view(U64) * salt[t, b]).sum(-1, dtype=U64))
             others.append(parts[b][:, None] + step[toward])
         total = sum(parts)
-        own[:, t] = mix(total + U64(t))
-        look[:, t, 0] = own[:, t]
+        own[:, at] = mix(total + U64(t))
+        look[:, at, 0] = own[:, at]
         for b in range(BLOCKS):
-            look[:, t, 1 + b * PROBES : 1 + (b + 1) * PROBES] = mix((total - parts[b])[:, None] + others[b] + U64(t))
+            look[:, at, 1 + b * PROBES : 1 + (b + 1) * PROBES] = mix((total - parts[b])[:, None] + others[b] + U64(t))
     return own, look
 
 
@@ -107,24 +110,22 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     good = source.filter(F.col("id").isNotNull() & F.coalesce(sound, F.lit(False)))
     nodes = stored(good.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("times")))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ids = part.column("node").to_numpy(zero_copy_only=False)
-                for rows, x in by_length(part.column("v")):
-                    x = x / np.abs(x).max(1, keepdims=True)
-                    own, look = cells(x / np.linalg.norm(x, axis=1, keepdims=True))
-                    size = U64(x.shape[1])
-                    yield pa.record_batch({
-                        "node": pa.array(ids[rows]), "own": pa.array((own ^ size).view(np.int64).tolist(), pa.list_(pa.int64())),
-                        "look": pa.array((look ^ size).reshape(len(rows), -1).view(np.int64).tolist(), pa.list_(pa.int64())),
-                    })
-
-    placed = stored(nodes.select("node", "v").mapInArrow(hashed, "node long, own array<long>, look array<long>"))
-    index = placed.select(F.col("node").alias("a"), F.explode("own").alias("cell"))
-    probes = placed.select(F.col("node").alias("b"), F.explode(F.array_distinct("look")).alias("cell"))
-    pairs = index.join(probes, "cell").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def hashed(tables: Sequence[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    ids = part.column("node").to_numpy(zero_copy_only=False)
+                    for rows, x in by_length(part.column("v")):
+                        x = x / np.abs(x).max(1, keepdims=True)
+                        own, look = cells(x / np.linalg.norm(x, axis=1, keepdims=True), tables=tables)
+                        size = U64(x.shape[1])
+                        yield pa.record_batch({
+                            "node": pa.array(ids[rows]), "own": pa.array((own ^ size).view(np.int64).tolist(), pa.list_(pa.int64())),
+                            "look": pa.array((look ^ size).reshape(len(rows), -1).view(np.int64).tolist(), pa.list_(pa.int64())),
+                        })
+
+        return run
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +141,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
 
     side = {c: nodes.select(F.col("node").alias(c), F.col("v").alias(f"v{c}")) for c in "ab"}
-    links = stored(pairs.join(side["b"], "b").join(side["a"], "a").select("a", "b", "va", "vb").mapInArrow(compared, "a long, b long").distinct())
+    found = []
+    # Tables go in rounds: only links outlive one, and its cells, pairs and shuffles leave the disk before the next.
+    for first in range(0, TABLES, TABLES_A_ROUND):
+        with setting(vectors.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            placed = stored(nodes.select("node", "v").mapInArrow(hashed(range(first, min(first + TABLES_A_ROUND, TABLES))), "node long, own array<long>, look array<long>"))
+            index = placed.select(F.col("node").alias("a"), F.explode("own").alias("cell"))
+            probes = placed.select(F.col("node").alias("b"), F.explode(F.array_distinct("look")).alias("cell"))
+            pairs = index.join(probes, "cell").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            found.append(stored(pairs.join(side["b"], "b").join(side["a"], "a").select("a", "b", "va", "vb").mapInArrow(compared, "a long, b long")))
+        discard(placed)
+    links = stored(reduce(DataFrame.unionByName, found).distinct())
+    discard(*found)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = both.join(nodes.select(F.col("node").alias("b"), "times"), "b").groupBy("a").agg(F.sum("times").alias("n"))
     groups = components(links).select(F.col("node").alias("c"), "component")
